@@ -53,6 +53,10 @@ class Scratch:
         out._quillon_path = path
         return out
 
+    def sparkframe(self, rows: list, kinds: str) -> DataFrame:
+        """A DataFrame of a few rows that the driver made."""
+        return self.spark.createDataFrame(rows, kinds)
+
     def free(self, df: DataFrame) -> None:
         path = getattr(df, "_quillon_path", None)
         if path:

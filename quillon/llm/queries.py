@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import lines, minhash, mixing, pieces, toxicity
+from quillon.llm import chat, epsilon, lines, minhash, mixing, pieces, pii, suffixes, topk, toxicity
 from quillon.llm.common import Scratch, table
 
 #: Vocabulary file of the public tokenizers; a parameter, never part of the repository.
@@ -17,6 +17,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "id % 100 = 0", Scratch(spark, "op2"), 10)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
 
@@ -29,15 +33,39 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_digests(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon.near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op9"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     return toxicity.score(docs, chain, "toxic").drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_mix_sources, op4_sentencepiece, op5_line_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_top_k, op3_mix_sources, op4_sentencepiece, op5_line_dedup, op6_pii, op7_chat_format, op8_suffix_dedup, op9_embedding_near_dedup, op10_toxicity)}
 
 ORACLES = {
+    "op2_top_k": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op7_chat_format": chat.CHAT_SQL,
     "op5_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
