@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import deal_to_pairs, groups
+from quillon.llm.blocks import deal_to_pairs
 from quillon.llm.common import Scratch, named
 from quillon.llm.minhash import _mix
 
 LENGTH, ANCHOR = 200, 64
 #: Bytes that are sorted at once, and of one of the two chunks of a name with more than that.
-BATCH, CHUNK = 3 << 20, 3 << 19
+BATCH, CHUNK = 2 << 20, 1 << 20
 END = 255  # never a byte of UTF-8
 _POSITION = np.uint64((1 << 23) - 1)
 
@@ -111,23 +111,33 @@ def _runs(batches):
 
 
 def _repeated_names(batches):
-    """Rows whose name has several rows in this range, or is the range's first or last name."""
-    first = True
-    for t in _with_last(groups(batches, (0,))):
-        table, last = t
-        if first or last or table.num_rows > 1:
-            yield from table.combine_chunks().to_batches()
-        first = False
+    """Rows whose name has several rows in this range, or is the range's first or last name.
 
-
-def _with_last(items):
-    held = None
-    for x in items:
-        if held is not None:
-            yield held, False
-        held = x
-    if held is not None:
-        yield held, True
+    One row is held back, as the next batch may continue its name; all else is whole-batch masks.
+    """
+    first = before = None
+    tail = None  # the last row so far, if nothing of its name has been passed on
+    for batch in batches:
+        name = batch.column(0).to_numpy()
+        if not len(name):
+            continue
+        if first is None:
+            first = name[0]
+        same = name[1:] == name[:-1]
+        keep = name == first
+        keep[1:] |= same
+        keep[:-1] |= same
+        if before == name[0]:
+            keep[0] = True
+            if tail is not None:
+                yield tail
+        tail = None
+        if not keep[-1]:
+            tail = batch.slice(len(name) - 1)
+        before = name[-1]
+        yield batch.filter(pa.array(keep))
+    if tail is not None:
+        yield tail
 
 
 # The transform ------------------------------------------------------------------------------
@@ -149,7 +159,7 @@ def bounded_order(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np
     key = np.zeros(n, np.uint64)
     for k in range(FRONT):
         key = (key << np.uint64(9)) | padded[k : n + k]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key).astype(np.int32)  # ties are sorted below
     key = key[order]
     head = np.ones(n, bool)
     head[1:] = key[1:] != key[:-1]
@@ -170,7 +180,7 @@ def bounded_order(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np
             break
         sub = order[slots]
         pair = (rank[sub] << 32) | (rank[np.minimum(sub + done, n)] + 1)
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         order[slots], pair = sub[by], pair[by]
         new = np.ones(len(slots), bool)
         new[1:] = pair[1:] != pair[:-1]
@@ -189,9 +199,9 @@ def prefix_values(text: np.ndarray, order: np.ndarray, value: np.ndarray, stop:
     ``value`` holds the values below FRONT; the expansion starts from the intervals of FRONT bytes.
     """
     n = len(text)
-    bwt = text[order - 1].astype(np.int64)  # the text is taken as a circle, whose last byte ends a segment
-    step = np.empty(n, np.int64)
-    step[np.argsort(bwt.astype(np.uint8), kind="stable")] = np.arange(n)
+    bwt = text[order - 1]  # the text is taken as a circle, whose last byte ends a segment
+    step = np.empty(n, np.int32)
+    step[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     heads = np.flatnonzero(value[:n] >= 0)
     high = np.append(heads[1:], n) - 1
     low = heads[value[high + 1] == FRONT - 1]
@@ -207,8 +217,8 @@ def prefix_values(text: np.ndarray, order: np.ndarray, value: np.ndarray, stop:
         if len(wide):
             size = high[wide] - low[wide] + 1
             at = np.arange(size.sum()) + np.repeat(low[wide] - (np.cumsum(size) - size), size)
-            mark = np.repeat(np.arange(len(wide)) << 8, size) | bwt[at]
-            sort = np.argsort(mark, kind="stable")
+            mark = np.repeat(np.arange(len(wide)) << 8, size) | bwt[at].astype(np.int64)
+            sort = np.argsort(mark << 32 | at)  # by interval and byte, in order of place
             mark, to = mark[sort], step[at[sort]]
             new = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
             starts.append(to[new])
@@ -225,7 +235,8 @@ def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LEN
     text = np.frombuffer(b"".join(s + bytes([END]) for s in segments), np.uint8)
     order, value = bounded_order(text, length)
     value = prefix_values(text, order, value, length)
-    twin = (value[:-1] < 0) | (value[1:] < 0)
+    far = (value < 0) | (value >= length)
+    twin = far[:-1] | far[1:]
     hit = np.empty(len(text), bool)
     hit[order] = twin
     out, at = [], 0
@@ -242,27 +253,42 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(edge).tolist()
 
 
+def _sorted_together(t: pa.Table):
+    flags = repeated_starts(t.column("seg").to_pylist(), t.column("n").to_numpy())
+    found = [_ranges(f) for f in flags]
+    keep = pa.array([bool(x) for x in found])
+    out = pa.table({"fp": t.column("fp"), "h": t.column("h"), "at": pa.array(found, pa.list_(pa.int32()))})
+    yield from out.filter(keep).combine_chunks().to_batches()
+
+
 def _expand(batches):
-    """Of segments sorted by name: the repeated starts of each, names sorted together up to a batch."""
-    held: list[pa.Table] = []
+    """Of segments sorted by name: the repeated starts of each. Whole names are sorted together, a batch of bytes at a time."""
+    held: list[pa.RecordBatch] = []
     size = 0
-
-    def flush():
-        t = pa.concat_tables(held)
-        flags = repeated_starts(t.column("seg").to_pylist(), t.column("n").to_numpy())
-        found = [_ranges(f) for f in flags]
-        keep = pa.array([bool(x) for x in found])
-        yield from pa.table({"fp": t.column("fp"), "h": t.column("h"), "at": pa.array(found, pa.list_(pa.int32()))}).filter(keep).combine_chunks().to_batches()
-
-    for t in groups(batches, (0, 1, 2)):
-        more = t.column("seg").nbytes
-        if held and size + more > BATCH:
-            yield from flush()
-            held, size = [], 0
-        held.append(t)
-        size += more
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            size += int(np.diff(_ends(part)).sum())
+            held.append(part)
+            if size < BATCH:
+                continue
+            t = pa.Table.from_batches(held)
+            keys = np.stack([t.column(k).to_numpy() for k in ("fp", "i", "j")])
+            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            if not len(cut):
+                continue
+            yield from _sorted_together(t.slice(0, int(cut[-1])))
+            rest = t.slice(int(cut[-1]))
+            held = rest.to_batches()
+            size = sum(int(np.diff(_ends(x)).sum()) for x in held)
     if held:
-        yield from flush()
+        yield from _sorted_together(pa.Table.from_batches(held))
+
+
+def _ends(part: pa.RecordBatch) -> np.ndarray:
+    """Offsets of the segments' bytes."""
+    seg = part.column("seg")
+    return np.frombuffer(seg.buffers()[1], np.int32, len(seg) + 1, 4 * seg.offset)
 
 
 def _cut(batches):
