@@ -65,46 +65,73 @@ class Link:
     weights: np.ndarray
     bias: float
     threshold: float
+    #: Range of each shape feature in training; a text beyond it counts as at its end.
+    low: np.ndarray
+    high: np.ndarray
 
     def logits(self, shape: np.ndarray, bags: list[dict[str, int]], earlier: np.ndarray) -> np.ndarray:
-        x = _design(self.words, shape, bags, earlier)
-        return x @ self.weights + self.bias
-
-
-def _design(words: dict[str, int], shape: np.ndarray, bags, earlier: np.ndarray) -> np.ndarray:
-    """Columns: log counts of the feature words, their counts over the root of the text's length, shape, earlier."""
-    n = len(words)
-    counts = np.zeros((len(bags), n))
+        return _design(_counts(self.words, bags), shape, earlier, self.low, self.high) @ self.weights + self.bias
+
+
+class Bags:
+    """Feature counts of the training texts in three flat arrays; features of fewer than ``least`` texts are left out."""
+
+    def __init__(self, token_lists, least: int = 5):
+        names: dict[str, int] = {}
+        ids, counts, sizes = [], [], []
+        for tokens in token_lists:
+            bag = _bag(tokens)
+            ids.append(np.array([names.setdefault(k, len(names)) for k in bag], np.int32))
+            counts.append(np.fromiter(bag.values(), np.int32, len(bag)))
+            sizes.append(len(bag))
+        row, col, n = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([*counts, np.zeros(0, np.int32)])
+        held = np.bincount(col, minlength=len(names)) >= least
+        self.names = [k for k, h in zip(names, held, strict=True) if h]
+        keep = held[col]
+        self.row, self.col, self.n, self.rows = row[keep], (np.cumsum(held) - 1)[col[keep]], n[keep], len(sizes)
+
+    def presence(self, where: np.ndarray) -> np.ndarray:
+        """In how many of the texts ``where`` each feature is."""
+        return np.bincount(self.col, weights=where[self.row].astype(float), minlength=len(self.names))
+
+    def counts(self, words: dict[str, int]) -> np.ndarray:
+        place = np.full(len(self.names), -1)
+        for j, name in enumerate(self.names):
+            place[j] = words.get(name, -1)
+        at = place[self.col] if len(self.names) else np.zeros(0, int)
+        out = np.zeros((self.rows, len(words)))
+        out[self.row[at >= 0], at[at >= 0]] = self.n[at >= 0]
+        return out
+
+
+def _counts(words: dict[str, int], bags: list[dict[str, int]]) -> np.ndarray:
+    out = np.zeros((len(bags), len(words)))
     for i, bag in enumerate(bags):
-        for w, c in bag.items() if len(bag) < n else ((w, bag[w]) for w in words if w in bag):
+        for w, c in bag.items():
             j = words.get(w)
             if j is not None:
-                counts[i, j] = c
-    return np.hstack([np.log1p(counts), counts / np.sqrt(np.exp(shape[:, :1]) + 20), shape, earlier])
+                out[i, j] = c
+    return out
+
+
+def _design(counts: np.ndarray, shape: np.ndarray, earlier: np.ndarray, low=None, high=None) -> np.ndarray:
+    """Columns: log counts of the feature words, their counts over the root of the text's length, shape, earlier."""
+    return np.hstack([np.log1p(counts), counts / np.sqrt(np.exp(shape[:, :1]) + 20), shape if low is None else np.clip(shape, low, high), earlier])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _pick_words(bags, y: np.ndarray) -> dict[str, int]:
+def _pick_words(bags: Bags, y: np.ndarray, inside: np.ndarray) -> dict[str, int]:
     """Words that tell the classes apart: smoothed log odds of presence over its standard error."""
-    up, down = {}, {}
-    for bag, t in zip(bags, y, strict=True):
-        side = up if t else down
-        for w in bag:
-            side[w] = side.get(w, 0) + 1
-    p, n = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    score = {}
-    for w in up.keys() | down.keys():
-        a, b = up.get(w, 0), down.get(w, 0)
-        if a + b < 5:
-            continue
-        odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (n - b + 0.5))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if abs(z) > 3:
-            score[w] = abs(z)
-    return {w: i for i, w in enumerate(sorted(score, key=lambda w: (-score[w], w))[:MAX_WORDS])}
+    up, down = bags.presence(inside & (y > 0)), bags.presence(inside & (y == 0))
+    p, n = max(1, int(y[inside].sum())), max(1, int(inside.sum() - y[inside].sum()))
+    odds = np.log((up + 0.5) / (p - up + 0.5)) - np.log((down + 0.5) / (n - down + 0.5))
+    z = np.abs(odds / np.sqrt(1 / (up + 0.5) + 1 / (down + 0.5)))
+    good = np.flatnonzero((up + down >= 5) & (z > 3))
+    order = sorted(good.tolist(), key=lambda j: (-round(float(z[j]), 9), bags.names[j]))
+    return {bags.names[j]: i for i, j in enumerate(order[:MAX_WORDS])}
 
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -115,7 +142,7 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.nd
     penalty = np.full(z.shape[1], ridge)
     penalty[-1] = 1e-6
     w = np.zeros(z.shape[1])
-    for _ in range(25):
+    for _ in range(12):
         p = _sigmoid(z @ w)
         step = np.linalg.solve((z.T * (p * (1 - p) + 1e-6)) @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
         w -= step
@@ -141,16 +168,15 @@ def fit_chain(texts: list[str], labels: dict[str, np.ndarray], folds: np.ndarray
     what it meets on new texts; thresholds come from out-of-fold probabilities as well. Words are
     picked within each fold's training part. A category of one class gets a constant model.
     """
-    tokens = [_tokens(t) for t in texts]
-    shape = np.array([shape_features(t, w) for t, w in zip(texts, tokens, strict=True)]).reshape(len(texts), N_SHAPE)
-    bags = [_bag(ws) for ws in tokens]
-    del tokens
+    shape = np.array([shape_features(t, _tokens(t)) for t in texts]).reshape(len(texts), N_SHAPE)
+    bags = Bags(map(_tokens, texts))
+    low, high = (shape.min(0), shape.max(0)) if len(texts) else (np.zeros(N_SHAPE), np.zeros(N_SHAPE))
     chain, earlier = [], np.zeros((len(texts), 0))
     for name, y in labels.items():
         y = np.asarray(y, float)
         if len(y) == 0 or y.min() == y.max():
             p = float(y[0]) if len(y) else 0.0
-            chain.append(Link(name, {}, np.zeros(N_SHAPE + earlier.shape[1]), 30.0 if p else -30.0, 0.5))
+            chain.append(Link(name, {}, np.zeros(N_SHAPE + earlier.shape[1]), 30.0 if p else -30.0, 0.5, low, high))
             earlier = np.hstack([earlier, np.full((len(texts), 1), p)])
             continue
         held = np.full(len(y), y.mean())
@@ -158,13 +184,12 @@ def fit_chain(texts: list[str], labels: dict[str, np.ndarray], folds: np.ndarray
             out = folds == k
             if out.all() or not out.any() or y[~out].min() == y[~out].max():
                 continue
-            inside = np.flatnonzero(~out)
-            words = _pick_words([bags[i] for i in inside], y[inside])
-            w, b = _fit_linear(_design(words, shape[~out], [bags[i] for i in inside], earlier[~out]), y[inside])
-            held[out] = _sigmoid(_design(words, shape[out], [bags[i] for i in np.flatnonzero(out)], earlier[out]) @ w + b)
-        words = _pick_words(bags, y)
-        w, b = _fit_linear(_design(words, shape, bags, earlier), y)
-        chain.append(Link(name, words, w, b, _threshold(held, y)))
+            x = _design(bags.counts(_pick_words(bags, y, ~out)), shape, earlier)
+            w, b = _fit_linear(x[~out], y[~out])
+            held[out] = _sigmoid(x[out] @ w + b)
+        words = _pick_words(bags, y, np.ones(len(y), bool))
+        w, b = _fit_linear(_design(bags.counts(words), shape, earlier), y)
+        chain.append(Link(name, words, w, b, _threshold(held, y), low, high))
         earlier = np.hstack([earlier, held[:, None]])
     return chain
 
@@ -215,8 +240,9 @@ def _scorer(chain: list[Link], judged: int):
     def run(batches):
         cache: dict = {}
         for batch in batches:
-            p = score_texts(batch.column(batch.num_columns - 1).to_pylist(), chain, cache)
-            flag = p[:, judged] >= chain[judged].threshold
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            p = score_texts(texts, chain, cache)
+            flag = (p[:, judged] >= chain[judged].threshold) & np.array([bool(t and TOKEN.search(t)) for t in texts], bool)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(np.round(p[:, i], 6)) for i in range(len(chain))), pa.array(flag)], names=[*batch.schema.names[:-1], *(f"__p{i}" for i in range(len(chain))), "__flag"])
 
     return run
@@ -226,7 +252,8 @@ def score(docs: DataFrame, chain: list[Link], judged: str, text_col: str = "text
     """``docs`` with a column ``p_<category>`` for each category, and ``rejected``.
 
     Whole texts are scored, row by row, without a shuffle; the model holds a few hundred words.
-    Null and empty texts are scored as empty. Extra columns pass through; one called like a result
+    Null texts are scored as empty; a text without words is never
+    rejected. Extra columns pass through; one called like a result
     is replaced.
     """
     names = [m.name for m in chain]
