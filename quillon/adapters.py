@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 import threading
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +29,21 @@ def _warn(code: Code, text: str) -> str:
 
 @dataclass
 class Drift:
-    """A repaired frame; ``warnings`` are complete once an action has run over it."""
+    """A repaired frame; what a cast lost is known once a frame over it has run."""
 
     df: DataFrame
     known: list[str]
     unsure: dict[str, tuple[str, str]] = field(default_factory=dict)
-    seen: Observation | None = None
+    seen: str | None = None
 
-    def warnings(self, ran: bool = True) -> list[str]:
+    def warnings(self, ran: DataFrame | None = None) -> list[str]:
+        """Warnings, with the casts' outcome if ``ran`` is the frame over this one that an action has run on."""
         out = list(self.known)
-        counts = self.seen.get if self.unsure and self.seen is not None and ran else None
+        counts = None
+        if self.seen and ran is not None:
+            found = ran._jdf.queryExecution().observedMetrics().get(self.seen)
+            if found.isDefined():
+                counts = {f"lost_{i}": found.get().get(i) for i in range(len(self.unsure))}
         for i, (name, (was, now)) in enumerate(self.unsure.items()):
             if counts is None:
                 out.append(_warn(Code.DRIFT_TYPE_CHANGED, f"Column '{name}' type coerced from {was} to {now} (unverified)"))
@@ -93,7 +99,7 @@ def reconcile(df: DataFrame, expected: T.StructType, observe: bool = True) -> Dr
             out.append(F.lit(None).cast(f.dataType).alias(f.name, metadata=f.metadata))
     seen = None
     if losses and observe:
-        seen = Observation()
+        seen = f"drift-{uuid.uuid4().hex}"
         rows = rows.observe(seen, *losses)
     return Drift(rows.select(*out), known, unsure, seen)
 

@@ -131,6 +131,8 @@ class Engine:
                     self.catalog.information_tables().createOrReplaceTempView("information_schema__tables")
                     self.catalog.information_columns().createOrReplaceTempView("information_schema__columns")
                 df = self.spark.sql(text, args=params) if params else self.spark.sql(text)
+        except ValueError as e:
+            raise make(Code.SYNTAX_ERROR, str(e)) from e
         except Exception as e:
             raise from_spark(e, self.catalog.names()) from e
         finally:
@@ -208,7 +210,7 @@ class Engine:
         for s in result.sources:
             self.breakers[s].record(True)
         for d in result.drifts:
-            warnings.extend(d.warnings())
+            warnings.extend(d.warnings(result.df))
         if key:
             self.cache.put(key, table)
         return table
@@ -224,6 +226,7 @@ class Engine:
         timer = threading.Timer(seconds, stop)
         timer.daemon = True
         self.spark.sparkContext.addJobTag(tag)
+        self.spark.sparkContext.setInterruptOnCancel(True)
         timer.start()
         try:
             return df.toArrow()

@@ -30,7 +30,7 @@ class Mask:
             return F.sha2(c.cast("string"), 256)
         if self.kind == "keep_first":
             s, n = c.cast("string"), int(self.value)
-            return F.rpad(F.substring(s, 1, n), F.greatest(F.length(s), F.lit(n)), "*") if n else F.repeat(F.lit("*"), F.length(s))
+            return F.rpad(F.substring(s, 1, n), F.length(s), "*") if n else F.repeat(F.lit("*"), F.length(s))
         if self.kind == "default":
             return F.lit(self.value)
         if self.kind == "custom":
