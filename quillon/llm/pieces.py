@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,10 +28,26 @@ SPACE = "▁"
 #: Penalty of an unknown character below the lowest score, as in SentencePiece.
 UNKNOWN_PENALTY = 10.0
 #: Units remembered by a worker before it forgets them all; results do not depend on it.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 150_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 LOW = -np.inf
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]*", re.DOTALL)
+
+
+def unit_pattern(pieces) -> re.Pattern | None:
+    """A pattern that splits a text where no piece can reach across, or None if spaces may end up inside pieces.
+
+    Characters that are in no piece of several stand alone. If no piece goes on from a letter to
+    something else, a unit is spaces, then signs, then letters; else spaces, then what follows.
+    """
+    if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        return None
+    joined = {c for p in pieces if len(p) > 1 for c in p} | {SPACE}
+    letters = {c for c in joined if c.isalpha()}
+    signs = joined - letters - {SPACE}
+    kind = lambda cs: "".join(map(re.escape, sorted(cs)))
+    if not letters or not signs or any(a in letters and b not in letters for p in pieces for a, b in zip(p, p[1:], strict=False)):
+        return re.compile(f"[^{kind(joined)}]|{SPACE}*[{kind(joined - {SPACE})}]*") if joined - {SPACE} else re.compile(f"[^{SPACE}]|{SPACE}+")
+    return re.compile(f"[^{kind(joined)}]|{SPACE}*[{kind(signs)}]*[{kind(letters)}]*")
 
 
 @dataclass
@@ -44,10 +61,13 @@ class Pieces:
     dummy_prefix: bool
     longest: int
     unknown_score: float
-    separable: bool
+    unit: re.Pattern | None
+    trie: dict[str, tuple[float, int] | None] = field(repr=False)
+    plain: list[str] = field(repr=False)
+    broken: np.ndarray = field(repr=False)
     cache: dict = field(default_factory=dict, repr=False)
 
-    @property
+    @functools.cached_property
     def byte_ids(self) -> list[int] | None:
         if len(self.byte_of) != 256:
             return None
@@ -78,8 +98,12 @@ def parse_model(model: bytes) -> Pieces:
             byte_of[i] = int(p.piece[3:5], 16)
         elif p.type == UNKNOWN:
             unknown = i
-    separable = not any(SPACE in p.lstrip(SPACE) for p in scores)
-    return Pieces(scores, [p.piece for p in m.pieces], byte_of, unknown, m.normalizer_spec.add_dummy_prefix, max(map(len, scores), default=1), min(normal, default=0.0) - UNKNOWN_PENALTY, separable)
+    trie: dict = {p[:k]: None for p in scores for k in range(1, len(p))}
+    trie.update(scores)
+    text = [p.piece for p in m.pieces]
+    plain = [chr(byte_of[i]) if byte_of.get(i, 128) < 128 else t.replace(SPACE, " ") for i, t in enumerate(text)]
+    broken = np.array([byte_of.get(i, 0) > 127 for i in range(len(text))])
+    return Pieces(scores, text, byte_of, unknown, m.normalizer_spec.add_dummy_prefix, max(map(len, scores), default=1), min(normal, default=0.0) - UNKNOWN_PENALTY, unit_pattern(scores), trie, plain, broken)
 
 
 def read_model(path: str) -> bytes:
@@ -93,11 +117,16 @@ def normalize(text: str, v: Pieces) -> str:
 
 
 def edges_from(s: str, a: int, v: Pieces):
-    """(end, score, id) of every piece that starts at ``a``; an unknown character if none of length 1."""
+    """(end, score, id) of every piece that starts at ``a``; an unknown character if none of length 1.
+
+    The trie holds every beginning of a piece, so the search ends where no piece goes on.
+    """
     single = False
-    get = v.scores.get
-    for e in range(a + 1, min(len(s), a + v.longest) + 1):
-        hit = get(s[a:e])
+    get = v.trie.get
+    for e in range(a + 1, len(s) + 1):
+        hit = get(s[a:e], False)
+        if hit is False:
+            break
         if hit is not None:
             single |= e == a + 1
             yield e, hit[0], hit[1]
@@ -119,47 +148,70 @@ def viterbi(s: str, start: int, stop: int, v: Pieces) -> tuple[np.ndarray, list]
     return best, back
 
 
+def _unknown_ids(c: str, v: Pieces) -> list[int]:
+    """The ids of a character that no piece holds: its bytes, or the unknown piece."""
+    return [v.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if v.byte_ids else [v.unknown]
+
+
 def _ids_back(s: str, start: int, end: int, back: list, v: Pieces) -> list[int]:
-    out, at, fallback = [], end, v.byte_ids
+    out, at = [], end
     while at != start:
         a, i = back[at]
-        if i >= 0:
-            out.append(i)
-        elif fallback:
-            out.extend(fallback[b] for b in reversed(s[a:at].encode("utf-8", "surrogatepass")))
-        else:
-            out.append(v.unknown)
+        out.extend([i] if i >= 0 else _unknown_ids(s[a:at], v)[::-1])
         at = a
     return out[::-1]
 
 
-def _unit(u: str, v: Pieces) -> tuple[float, tuple[int, ...]]:
-    found = v.cache.get(u)
-    if found is None:
-        if len(v.cache) > CACHE_UNITS:
+def _unit(u: str, v: Pieces) -> bytes:
+    """Ids of a unit, as little-endian 32-bit numbers; remembered, since words repeat.
+
+    The rule of viterbi(), in one loop.
+    """
+    n, get, unknown = len(u), v.trie.get, v.unknown_score
+    best, back, ids = [LOW] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    for a in range(n):
+        at, single = best[a], False
+        for e in range(a + 1, n + 1):
+            hit = get(u[a:e], False)
+            if hit is False:
+                break
+            if hit is not None:
+                if e == a + 1:
+                    single = True
+                w = at + hit[0]
+                if w > best[e]:
+                    best[e], back[e], ids[e] = w, a, hit[1]
+        if not single and at + unknown > best[a + 1]:
+            best[a + 1], back[a + 1], ids[a + 1] = at + unknown, a, -1
+    path, at = [], n
+    while at:
+        i = ids[at]
+        if i >= 0:
+            path.append(i)
+        else:
+            path.extend(_unknown_ids(u[back[at]], v)[::-1])
+        at = back[at]
+    found = array("i", path[::-1]).tobytes()
+    if n < 32:
+        if len(v.cache) >= CACHE_UNITS:
             v.cache.clear()
-        best, back = viterbi(u, 0, len(u), v)
-        found = best[-1], tuple(_ids_back(u, 0, len(u), back, v))
-        if len(u) < 64:
-            v.cache[u] = found
+        v.cache[u] = found
     return found
 
 
-def encode_whole(s: str, v: Pieces) -> list[int]:
-    """Ids of a normalised text in one piece. Where no piece can cross the front of a run of spaces, units are apart."""
-    if not v.separable:
-        best, back = viterbi(s, 0, len(s), v)
-        return _ids_back(s, 0, len(s), back, v)
-    out: list[int] = []
-    get = v.cache.get
-    for u in _UNIT.findall(s):
-        found = get(u)
-        out += (found or _unit(u, v))[1] if u else ()
-    return out
+def encode_whole(s: str, v: Pieces) -> np.ndarray:
+    """Ids of a normalised text in one piece. Units that no piece crosses are encoded apart."""
+    if v.unit is None:
+        _, back = viterbi(s, 0, len(s), v)
+        return np.array(_ids_back(s, 0, len(s), back, v), np.int32)
+    cache = v.cache
+    return np.frombuffer(b"".join([cache[u] if u in cache else _unit(u, v) for u in v.unit.findall(s) if u]), "<i4")
 
 
 def _cuts(s: str, v: Pieces) -> list[int]:
-    return [m.start() for m in re.finditer(f"(?<=[^{SPACE}]){SPACE}", s)] if v.separable else []
+    """Ends of units: nodes that every path visits."""
+    return [m.end() for m in v.unit.finditer(s) if m.end() > m.start()] if v.unit else []
 
 
 def transfer(s: str, size: int, v: Pieces) -> np.ndarray:
@@ -167,7 +219,8 @@ def transfer(s: str, size: int, v: Pieces) -> np.ndarray:
 
     Entry [i, j]: best score of a path from node i to node size + j whose edges start before
     ``size``. Where nodes exist that every path visits, the matrix is a sum of a vector for the
-    front, a number for the middle and a vector for the back; else all entries are carried along.
+    front, a number for the middle and a vector for the back; that number is the same for every
+    way and cannot decide between them, so it is left out. Else all entries are carried along.
     """
     L = v.longest
     out = np.full((L, L), LOW)
@@ -178,10 +231,9 @@ def transfer(s: str, size: int, v: Pieces) -> np.ndarray:
         front[c] = 0.0
         for a in range(c - 1, -1, -1):
             front[a] = max((w + front[e] for e, w, _ in edges_from(s, a, v) if e <= c), default=LOW)
-        middle = sum(_unit(u, v)[0] for u in _UNIT.findall(s[c:d]) if u)
         back, _ = viterbi(s[d:], 0, size - d, v)
         tail = [back[size - d + j] if size + j <= len(s) else LOW for j in range(L)]
-        return np.array(front[:L])[:, None] + middle + np.array(tail)[None, :]
+        return np.array(front[:L])[:, None] + np.array(tail)[None, :]
     best = np.full((len(s) + L + 1, L), LOW)
     for i in range(L):
         best[i, i] = 0.0
@@ -226,30 +278,28 @@ def backtrace(s: str, size: int, entry: int, leave: int, v: Pieces) -> list[int]
     if head:
         best, back = viterbi(head, 0, len(head), v)
         out += _ids_back(head, 0, len(head), back, v)
-    out += encode_whole(s[c:d], v)
+    out += encode_whole(s[c:d], v).tolist()
     if tail:
         _, back = viterbi(tail, 0, min(len(tail), size - d), v)
         out += _ids_back(tail, 0, len(tail), back, v)
     return out
 
 
-def decode_ids(ids, v: Pieces) -> str:
+def decode_ids(ids: np.ndarray, v: Pieces) -> str:
     """Text of ids: pieces joined, runs of byte pieces read as UTF-8 (broken ones as U+FFFD), prefix space dropped."""
-    byte_of = v.byte_of
-    if not byte_of.keys() & set(ids):
-        out = "".join(map(v.text.__getitem__, ids))
+    if not v.broken[ids].any():  # bytes of ASCII stand for themselves
+        out = "".join([v.plain[i] for i in ids.tolist()])
     else:
         parts, run = [], bytearray()
-        for i in ids:
-            if i in byte_of:
-                run.append(byte_of[i])
+        for i in ids.tolist():
+            if i in v.byte_of:
+                run.append(v.byte_of[i])
                 continue
             if run:
                 parts.append(run.decode("utf-8", "replace"))
                 run = bytearray()
-            parts.append(v.text[i])
+            parts.append(v.plain[i])
         out = "".join(parts) + run.decode("utf-8", "replace")
-    out = out.replace(SPACE, " ")
     return out[1:] if v.dummy_prefix and out.startswith(" ") else out
 
 
@@ -265,7 +315,7 @@ def _encode_rows(model: bytes, at: int, chunk: int):
                 for i in range(lo, hi):
                     s = normalize(texts[i].as_py() or "", v)
                     if len(s) <= chunk:
-                        rows.append(i), ids.append(np.asarray(encode_whole(s, v), np.int32)), pos.append(-1), size.append(0), parts.append(None)
+                        rows.append(i), ids.append(encode_whole(s, v)), pos.append(-1), size.append(0), parts.append(None)
                         continue
                     for k, a in enumerate(range(0, len(s), chunk)):
                         rows.append(i), ids.append(None), pos.append(k), size.append(min(chunk, len(s) - a)), parts.append(s[a : a + chunk + v.longest - 1])
@@ -325,7 +375,7 @@ def encode(docs: DataFrame, model: bytes, scratch: Scratch, text_col: str = "tex
         for batch in batches:
             texts = batch.column(at)
             for lo, hi in row_slices([len(x.as_buffer() or b"") if x.is_valid else 0 for x in texts], 2 << 20):
-                ids = [np.asarray(encode_whole(normalize(str(t.as_py() or ""), v), v), np.int32) for t in texts.slice(lo, hi - lo)]
+                ids = [encode_whole(normalize(str(t.as_py() or ""), v), v) for t in texts.slice(lo, hi - lo)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)), pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "__ids"])
 
     done = small.mapInArrow(whole, f"{fields}, __ids array<int>")
@@ -348,7 +398,7 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "
     def run(batches):
         v = parse_model(model)
         for batch in batches:
-            texts = [None if x is None else decode_ids(x, v) for x in batch.column(at).to_pylist()]
+            texts = [None if x is None else decode_ids(np.array(x, np.int64), v) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "__text"])
 
     out = rows.toDF(*[f"__d{i}" for i in range(len(rows.columns))]).mapInArrow(run, f"{kinds}, __text string")
@@ -364,11 +414,11 @@ def piece_digests(docs: DataFrame, model: bytes, scratch: Scratch) -> DataFrame:
 
         v = parse_model(model)
         for batch in batches:
-            ids = batch.column(2)
+            flat = np.asarray(batch.column(2).values.to_numpy(zero_copy_only=False), "<i4")
+            cuts = batch.column(2).offsets.to_numpy()
             for lo in range(0, batch.num_rows, 512):
-                n = min(512, batch.num_rows - lo)
-                each = [np.asarray(x.values.to_numpy(zero_copy_only=False), "<i4") for x in ids.slice(lo, n)]
-                texts = [(t or "").replace(SPACE, " ") for t in batch.column(1).slice(lo, n).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in each]), pa.array([decode_ids(x.tolist(), v) == t for x, t in zip(each, texts, strict=True)])], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+                each = [flat[a:b] for a, b in zip(cuts[lo : lo + 512].tolist(), cuts[lo + 1 : lo + 513].tolist(), strict=False)]
+                texts = [(t or "").replace(SPACE, " ") for t in batch.column(1).slice(lo, 512).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in each]), pa.array([decode_ids(x, v) == t for x, t in zip(each, texts, strict=True)])], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
