@@ -57,7 +57,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_top_k, op3_mix_sources, op4_sentencepiece, op5_line_dedup, op6_pii, op7_chat_format, op8_suffix_dedup, op9_embedding_near_dedup, op10_toxicity)}
 
+#: Components of a table ``links`` (x, y) over nodes of ``nodes`` (id): smallest id reachable.
+_COMPONENTS = """
+        ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+        reach AS (SELECT id AS node, id AS root FROM nodes UNION SELECT ways.y, reach.root FROM reach JOIN ways ON reach.node = ways.x AND reach.root < ways.y),
+        comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)"""
+
 ORACLES = {
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 75 * (a.c + b.c - k)),
+        nodes AS (SELECT doc_id AS id FROM documents),"""
+    + _COMPONENTS
+    + """
+        SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN comp ON comp.node = d.doc_id""",
+    "op9_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        nodes AS (SELECT vec_id AS id FROM embeddings),"""
+    + _COMPONENTS
+    + """
+        SELECT d.vec_id, (SELECT count(*) FROM ways b WHERE b.x = d.vec_id) AS n_links, component_id, d.vec_id = component_id AS kept
+        FROM embeddings d JOIN comp ON comp.node = d.vec_id""",
     "op2_top_k": r"""
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings

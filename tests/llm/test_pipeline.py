@@ -69,3 +69,10 @@ def test_pipeline_run(spark, sf):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "minhash", "mixing", "sentencepiece"]
     a, b = (sorted((r.doc_id, r.n_tokens) for r in cp.run(spark, sf).collect()) for _ in range(2))
     assert a == b and a
+
+
+def test_native_operators_run_no_python(spark, sf):
+    import re
+
+    for name in ("op6_pii", "op7_chat_format"):
+        assert not re.search("Python|Pandas|Arrow", QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()), name
