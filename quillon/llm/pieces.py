@@ -15,7 +15,6 @@ from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +26,9 @@ CHUNK = 1 << 15
 SPACE = "▁"
 #: Penalty of an unknown character below the lowest score, as in SentencePiece.
 UNKNOWN_PENALTY = 10.0
-#: Units remembered by a worker before it forgets them all; results do not depend on it.
-CACHE_UNITS = 150_000
+#: Units that a worker remembers in each of two generations: what is used again moves to the younger
+#: one, the older one is forgotten. Results do not depend on it.
+CACHE_UNITS = 60_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 LOW = -np.inf
 
@@ -66,6 +66,7 @@ class Pieces:
     plain: list[str] = field(repr=False)
     broken: np.ndarray = field(repr=False)
     cache: dict = field(default_factory=dict, repr=False)
+    older: dict = field(default_factory=dict, repr=False)
 
     @functools.cached_property
     def byte_ids(self) -> list[int] | None:
@@ -167,6 +168,10 @@ def _unit(u: str, v: Pieces) -> bytes:
 
     The rule of viterbi(), in one loop.
     """
+    found = v.older.get(u)
+    if found is not None:
+        v.cache[u] = found
+        return found
     n, get, unknown = len(u), v.trie.get, v.unknown_score
     best, back, ids = [LOW] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     best[0] = 0.0
@@ -195,7 +200,7 @@ def _unit(u: str, v: Pieces) -> bytes:
     found = array("i", path[::-1]).tobytes()
     if n < 32:
         if len(v.cache) >= CACHE_UNITS:
-            v.cache.clear()
+            v.older, v.cache = v.cache, {}
         v.cache[u] = found
     return found
 
@@ -205,8 +210,11 @@ def encode_whole(s: str, v: Pieces) -> np.ndarray:
     if v.unit is None:
         _, back = viterbi(s, 0, len(s), v)
         return np.array(_ids_back(s, 0, len(s), back, v), np.int32)
-    cache = v.cache
-    return np.frombuffer(b"".join([cache[u] if u in cache else _unit(u, v) for u in v.unit.findall(s) if u]), "<i4")
+    out = []
+    for u in v.unit.findall(s):
+        if u:
+            out.append(v.cache.get(u) or _unit(u, v))
+    return np.frombuffer(b"".join(out), "<i4")
 
 
 def _cuts(s: str, v: Pieces) -> list[int]:
@@ -335,7 +343,9 @@ def _matrices(model: bytes):
     return run
 
 
-def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
+def _scan(pdf):
+    import pandas as pd  # here only: the other tasks' workers need not hold it
+
     pdf = pdf.sort_values("pos")
     mats = [np.frombuffer(m, "<f8") for m in pdf["matrix"]]
     n = int(round(len(mats[0]) ** 0.5))
