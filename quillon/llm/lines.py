@@ -108,7 +108,8 @@ def keep_bitmaps(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     scratch.free(hashed)
     edge = events.where(F.col("kind") == _EDGE)
     owners = events.where(F.col("kind") != _DROP).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
-    late = edge.join(owners, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "tkey", "n_lines", "pos")
+    # Two rows a range at most, so the owners are small whatever the input; the hot key's rows stay where they are.
+    late = edge.join(F.broadcast(owners), ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "tkey", "n_lines", "pos")
     gone = events.where(F.col("kind") == _DROP).select("doc_id", "tkey", "n_lines", "pos").unionAll(late)
     lists = gone.groupBy("doc_id", "tkey", "n_lines").agg(F.collect_list("pos").alias("gone"))
     return lists.mapInArrow(_pack, "doc_id long, tkey long, n_lines int, n_dropped int, keep_bitmap binary")
