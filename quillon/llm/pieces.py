@@ -28,7 +28,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Units that a worker remembers in each of two generations: what is used again moves to the younger
 #: one, the older one is forgotten. Results do not depend on it.
-CACHE_UNITS = 60_000
+CACHE_UNITS = 110_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 LOW = -np.inf
 
@@ -364,9 +364,12 @@ def _trace(model: bytes):
     return run
 
 
-def encode(docs: DataFrame, model: bytes, scratch: Scratch, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, scratch: Scratch, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK, finish=None) -> DataFrame:
     """``docs`` with its columns and ``ids``, an array of piece ids (replaced if there is one already).
 
+    ``finish``: (function, schema) over the encoded batches, whose last column is ids; run where they
+    were encoded, so that ids need not pass through the JVM. The result is then the function's.
+
     Rows within one chunk are encoded where they are, without a shuffle. Only giant texts are cut;
     their chunks are written once, scored on any executor, combined a text at a time (2 KB a chunk),
     backtraced on any executor and joined to their rows by content. Null and empty texts have no ids.
@@ -388,7 +391,7 @@ def encode(docs: DataFrame, model: bytes, scratch: Scratch, text_col: str = "tex
                 ids = [encode_whole(normalize(str(t.as_py() or ""), v), v) for t in texts.slice(lo, hi - lo)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)), pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "__ids"])
 
-    done = small.mapInArrow(whole, f"{fields}, __ids array<int>")
+    done = small.mapInArrow(whole, f"{fields}, __ids array<int>") if finish is None else small.mapInArrow(lambda batches: finish[0](whole(batches)), finish[1])
     # Giant rows are named by their content, so that a task run again names them alike; rows alike share their ids.
     large = rows.where(giant).withColumn("__row", F.sha2(F.col(text).cast("string"), 256))
     texts = large.select("__row", F.col(text).cast("string").alias("t")).groupBy("__row").agg(F.first("t").alias("t"))
@@ -397,6 +400,8 @@ def encode(docs: DataFrame, model: bytes, scratch: Scratch, text_col: str = "tex
     traced = chunks.join(ways, ["row", "pos"]).select("row", "pos", "part", "size", "entry", "leave").mapInArrow(_trace(model), "row string, pos int, ids array<int>")
     joined = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("__ids"))
     big = large.join(joined, large["__row"] == joined["row"]).select(*inner, "__ids")
+    if finish is not None:
+        return done.unionByName(big.mapInArrow(*finish))
     return done.unionByName(big).select(*[F.col(c).alias(n) for c, n in zip(inner, names, strict=True)], F.col("__ids").alias(ids_col))
 
 
@@ -417,7 +422,6 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "
 
 def piece_digests(docs: DataFrame, model: bytes, scratch: Scratch) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, round_trip): digest of little-endian 32-bit ids; does decoding give the text back?"""
-    rows = encode(docs.select("doc_id", "text"), model, scratch)
 
     def run(batches):
         import hashlib
@@ -431,4 +435,4 @@ def piece_digests(docs: DataFrame, model: bytes, scratch: Scratch) -> DataFrame:
                 texts = [(t or "").replace(SPACE, " ") for t in batch.column(1).slice(lo, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in each]), pa.array([decode_ids(x, v) == t for x, t in zip(each, texts, strict=True)])], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return encode(docs.select("doc_id", "text"), model, scratch, finish=(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean"))
