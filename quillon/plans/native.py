@@ -236,7 +236,7 @@ def schema_adapter_rename(spark, sf_dir):
 
 @query("SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
 def engine_sql(spark, sf_dir):
-    return engine_over(spark, sf_dir, ("customer", "orders")).sql("SELECT c_mktsegment, count(*) AS n FROM quillon.customer.customer AS customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment".replace("quillon.customer.customer AS customer", "customer")).df
+    return engine_over(spark, sf_dir, ("customer", "orders")).sql("SELECT c_mktsegment, count(*) AS n FROM quillon.public.customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment").df
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")

@@ -7,7 +7,7 @@ from quillon.plans.registry import expose, query, sql_query
 
 sql_query("fn_null_handling", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS a, nullif(o_orderstatus, 'O') AS b, ifnull(nullif(o_orderstatus, 'F'), 'x') AS c, nvl(nullif(o_orderstatus, 'P'), 'y') AS d, nvl2(nullif(o_orderstatus, 'F'), 1, 0) AS e FROM orders",
           "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS a, nullif(o_orderstatus, 'O') AS b, ifnull(nullif(o_orderstatus, 'F'), 'x') AS c, coalesce(nullif(o_orderstatus, 'P'), 'y') AS d, CASE WHEN nullif(o_orderstatus, 'F') IS NOT NULL THEN 1 ELSE 0 END AS e FROM orders")
-sql_query("fn_conditional", "SELECT c_custkey, if(c_acctbal > 0, 'pos', 'neg') AS sign, greatest(c_custkey, c_nationkey, 10) AS g, least(c_custkey, c_nationkey, 10) AS l, iff(c_nationkey = 3, 1, 0) AS three FROM customer".replace("iff(", "if("),
+sql_query("fn_conditional", "SELECT c_custkey, if(c_acctbal > 0, 'pos', 'neg') AS sign, greatest(c_custkey, c_nationkey, 10) AS g, least(c_custkey, c_nationkey, 10) AS l, if(c_nationkey = 3, 1, 0) AS three FROM customer",
           "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS sign, greatest(c_custkey, c_nationkey, 10) AS g, least(c_custkey, c_nationkey, 10) AS l, CASE WHEN c_nationkey = 3 THEN 1 ELSE 0 END AS three FROM customer")
 sql_query("fn_string_case_trim", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, trim('  ' || p_name || ' ') AS t, ltrim('  ' || p_name) AS lt, rtrim(p_name || '  ') AS rt, reverse(p_name) AS r, initcap(lower(p_brand)) AS i, length(p_name) AS n, octet_length(p_name) AS o, ascii(p_name) AS a FROM part",
           "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, trim('  ' || p_name || ' ') AS t, ltrim('  ' || p_name) AS lt, rtrim(p_name || '  ') AS rt, reverse(p_name) AS r, upper(p_brand[1]) || lower(p_brand[2:]) AS i, length(p_name) AS n, strlen(p_name) AS o, ascii(p_name) AS a FROM part")
