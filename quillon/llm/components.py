@@ -29,9 +29,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     of all edges is pre-aggregated before the shuffle, and its join side is splittable. Lineage is
     cut by a written table every round; nothing is collected but a count and a checksum.
     """
-    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = scratch.save(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    del ends
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
