@@ -254,6 +254,13 @@ def _ranges(flags: np.ndarray) -> list[int]:
 
 
 def _sorted_together(t: pa.Table):
+    # Pairs of chunks of one name share segments; a segment that stood twice would be found in its own copy.
+    fp, h = t.column("fp").to_numpy(), t.column("h").to_numpy()
+    order = np.lexsort((h, fp))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (fp[order[1:]] != fp[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+    if not fresh.all():
+        t = t.take(pa.array(np.sort(order[fresh])))
     flags = repeated_starts(t.column("seg").to_pylist(), t.column("n").to_numpy())
     found = [_ranges(f) for f in flags]
     keep = pa.array([bool(x) for x in found])

@@ -125,6 +125,21 @@ def test_suffix_dedup_repeated_rows_and_pieces(spark, monkeypatch):
     assert {(r.n_bytes, r.n_removed) for r in same} == {(len(long), len(long)), (300, 300)}
 
 
+def test_suffix_dedup_pairs_of_one_name_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 900)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, twice = word(120), word(230)
+    docs = [(i, word(rng.randint(150, 220)) + passage + word(rng.randint(150, 220))) for i in range(40)] + [(40, word(90) + twice), (41, twice + word(70))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = [tuple(r) for r in suffixes.suffix_digests(frame(spark, docs), Scratch(spark, "t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got) == sorted(brute.suffixes(docs)) and sum(r[2] > 0 for r in got) == 2
+
+
 @pytest.mark.parametrize("length", [5, 9, 20, 40])
 def test_interval_expansion(length):
     rng = np.random.default_rng(length)
