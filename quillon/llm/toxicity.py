@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,17 @@ def _bag(tokens: list[str]) -> dict[str, int]:
     return bag
 
 
+@lru_cache(maxsize=1)
+def _upper_codes() -> np.ndarray:
+    """For each code point, whether it is upper case."""
+    return np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
+
+
+def upper_count(text: str) -> int:
+    """Upper-case characters of the whole text."""
+    return int(np.count_nonzero(_upper_codes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]))
+
+
 def shape_features(text: str, tokens: list[str]) -> list[float]:
     n = max(1, len(text))
     lines = text.split("\n")
@@ -50,7 +62,7 @@ def shape_features(text: str, tokens: list[str]) -> list[float]:
         np.log1p(len(tokens)),
         len(tokens) and len(set(tokens)) / len(tokens),
         sum(map(text.count, "!#$%&*|{}<>=")) / n,
-        sum(map(str.isupper, text[:: max(1, n // 2000)])) / max(1, len(range(0, n, max(1, n // 2000)))),
+        upper_count(text) / n,
         1 - len(set(lines)) / len(lines),
         len(tokens) and sum(map(len, tokens)) / len(tokens) / 10,
     ]

@@ -222,6 +222,11 @@ def test_toxicity_chain_on_held_out(spark):
     assert not out[9001].rejected and not out[9002].rejected and not out[9003].rejected
 
 
+@pytest.mark.parametrize("text", ["Abbb" * 2000, "bbbA" * 2000, "a" * 3999 + "B", "a" * 100_001 + "ÀÉ🅐ж" * 30 + "a" * 50_000, "Ab\n" * 7, ""])
+def test_toxicity_upper_share_reads_whole_texts(text):
+    assert toxicity.shape_features(text, [])[3] == sum(map(str.isupper, text)) / max(1, len(text))
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     chain = toxicity.train(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"), {"toxic": "toxic = 1"})
