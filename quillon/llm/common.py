@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space as bytes, for the Arrow-side code.
 SPACE = b" \t\n\x0b\x0c\r"
 
+#: Bytes of an Arrow batch on its way to Python workers. Texts are long, and a task holds several batches.
+ARROW_BYTES = "4m"
+
 _local_root: str | None = None
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the bytes of an Arrow batch for the session, unless the session sets them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables: ``spark.checkpoint.dir`` of the session.
 
@@ -41,6 +53,7 @@ class Scratch:
     """Written tables that cut lineage; they live in the shared folder, so a lost executor loses nothing."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark = spark
         self.base = f"{scratch_root(spark).rstrip('/')}/quillon/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
@@ -64,6 +77,26 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library: it keeps its own counsel
+        return lambda _: 0
+
+
+def lean(run):
+    """``run`` over the batches of a task; at its end the worker gives back memory that is free."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trimmer()(0)
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, Scratch, keyed, row_slices
+from quillon.llm.common import SPACE, Scratch, keyed, lean, row_slices
 
 #: Keys shorter than this many code points never lose a line.
 MIN_KEY = 10
@@ -102,7 +102,7 @@ def keep_bitmaps(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     first line in the highest bit, 1 for a line that stays.
     """
     rows = keyed(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "tkey", "text")
-    hashed = scratch.save(rows.mapInArrow(lambda it, m=min_key: _hash_lines(it, m), "doc_id long, tkey long, pos int, n_lines int, h1 long, h2 long"))
+    hashed = scratch.save(rows.mapInArrow(lean(lambda it, m=min_key: _hash_lines(it, m)), "doc_id long, tkey long, pos int, n_lines int, h1 long, h2 long"))
     ordered = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     events = scratch.save(ordered.mapInArrow(_stream_first, "kind int, doc_id long, tkey long, pos int, n_lines int, h1 long, h2 long"))
     scratch.free(hashed)

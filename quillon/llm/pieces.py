@@ -1,15 +1,19 @@
 """SentencePiece encoding and decoding: best-scoring segmentation by a max-plus parallel scan.
 
 A text is encoded by the pieces with the highest sum of scores (the Viterbi rule of SentencePiece's
-unigram models; ties go to the piece that starts first). Giant texts are cut at fixed offsets. A
-chunk's transfer matrix holds the best score from every way of entering it to every way of leaving
-it, where a way is how far the piece that crosses the border reaches. Max-plus products of these
-matrices are associative, so chunks are scored apart, combined, and then backtraced apart.
+unigram models). Among equal scores a node is reached by the piece that starts first; scores lie on a
+grid of 2^-31 of the largest, so sums over a chunk are exact and this rule gives the same ids however a text is cut. Giant texts
+are cut at fixed offsets. A chunk's transfer matrix holds the best score from every way of entering
+it to every way of leaving it, where a way is how far the piece that crosses the border reaches.
+Max-plus products of these matrices are associative: they are combined by doubling, which gives each
+chunk the scores of its ways in. From these each chunk tells, for every way out, the way in that the
+rule takes; such maps are combined too, and then chunks are backtraced apart.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from array import array
 from dataclasses import dataclass, field
@@ -19,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, row_slices
+from quillon.llm.common import Scratch, lean, row_slices
 
 #: Characters of a chunk; longer texts are giant.
 CHUNK = 1 << 15
 SPACE = "▁"
 #: Penalty of an unknown character below the lowest score, as in SentencePiece.
 UNKNOWN_PENALTY = 10.0
-#: Units that a worker remembers in each of two generations: what is used again moves to the younger
-#: one, the older one is forgotten. Results do not depend on it.
-CACHE_UNITS = 110_000
+#: Units that a worker remembers in each of two generations (some 25 MB): what is used again moves to
+#: the younger one, the older one is forgotten. Results do not depend on it.
+CACHE_UNITS = 60_000
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 LOW = -np.inf
 
@@ -62,7 +66,7 @@ class Pieces:
     longest: int
     unknown_score: float
     unit: re.Pattern | None
-    trie: dict[str, tuple[float, int] | None] = field(repr=False)
+    trie: dict[str, tuple] = field(repr=False)
     plain: list[str] = field(repr=False)
     broken: np.ndarray = field(repr=False)
     cache: dict = field(default_factory=dict, repr=False)
@@ -78,7 +82,21 @@ class Pieces:
         return ids
 
 
-@functools.lru_cache(maxsize=4)
+def build_trie(scores: dict[str, tuple[float, int]]) -> dict[str, tuple]:
+    """First characters -> (next characters, score or None, id); nodes without next characters share one empty dict."""
+    none: dict = {}
+    reach: dict[str, set] = {"": set()}
+    for p in scores:
+        for k in range(1, len(p) + 1):
+            reach.setdefault(p[: k - 1], set()).add(p[k - 1])
+    nodes: dict[str, tuple] = {}
+    for p in sorted({p[:k] for p in scores for k in range(1, len(p) + 1)}, key=len, reverse=True):
+        nexts = {c: nodes.pop(p + c) for c in reach[p]} if p in reach else none
+        nodes[p] = (nexts, *scores.get(p, (None, -1)))
+    return nodes
+
+
+@functools.lru_cache(maxsize=1)
 def parse_model(model: bytes) -> Pieces:
     """Pieces of a serialised SentencePiece model. Only the identity normalizer is supported."""
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -90,21 +108,21 @@ def parse_model(model: bytes) -> Pieces:
     scores, byte_of, unknown = {}, {}, 0
     normal = [p.score for p in m.pieces if p.type == NORMAL]
     top = max(normal, default=0.0)
+    grid = 2.0 ** (31 - math.ceil(math.log2(max([1.0, *map(abs, normal)]))))
+    snap = lambda x: round(x * grid) / grid
     for i, p in enumerate(m.pieces):
         if p.type == NORMAL:
-            scores[p.piece] = (float(p.score), i)
+            scores[p.piece] = (snap(p.score), i)
         elif p.type == USER:
-            scores[p.piece] = (len(p.piece) * top - 0.1, i)
+            scores[p.piece] = (snap(len(p.piece) * top - 0.1), i)
         elif p.type == BYTE:
             byte_of[i] = int(p.piece[3:5], 16)
         elif p.type == UNKNOWN:
             unknown = i
-    trie: dict = {p[:k]: None for p in scores for k in range(1, len(p))}
-    trie.update(scores)
     text = [p.piece for p in m.pieces]
     plain = [chr(byte_of[i]) if byte_of.get(i, 128) < 128 else t.replace(SPACE, " ") for i, t in enumerate(text)]
     broken = np.array([byte_of.get(i, 0) > 127 for i in range(len(text))])
-    return Pieces(scores, text, byte_of, unknown, m.normalizer_spec.add_dummy_prefix, max(map(len, scores), default=1), min(normal, default=0.0) - UNKNOWN_PENALTY, unit_pattern(scores), trie, plain, broken)
+    return Pieces(scores, text, byte_of, unknown, m.normalizer_spec.add_dummy_prefix, max(map(len, scores), default=1), snap(min(normal, default=0.0) - UNKNOWN_PENALTY), unit_pattern(scores), build_trie(scores), plain, broken)
 
 
 def read_model(path: str) -> bytes:
@@ -120,26 +138,31 @@ def normalize(text: str, v: Pieces) -> str:
 def edges_from(s: str, a: int, v: Pieces):
     """(end, score, id) of every piece that starts at ``a``; an unknown character if none of length 1.
 
-    The trie holds every beginning of a piece, so the search ends where no piece goes on.
+    The search ends where no piece goes on.
     """
-    single = False
-    get = v.trie.get
-    for e in range(a + 1, len(s) + 1):
-        hit = get(s[a:e], False)
-        if hit is False:
+    single, nexts, e = False, v.trie, a
+    for c in s[a : a + v.longest]:
+        node = nexts.get(c)
+        if node is None:
             break
-        if hit is not None:
+        nexts, w, i = node
+        e += 1
+        if w is not None:
             single |= e == a + 1
-            yield e, hit[0], hit[1]
+            yield e, w, i
     if not single:
         yield a + 1, v.unknown_score, -1
 
 
-def viterbi(s: str, start: int, stop: int, v: Pieces) -> tuple[np.ndarray, list]:
-    """Best scores from node ``start`` to every node, over edges that start before ``stop``, and back pointers."""
+def viterbi(s: str, entries, stop: int, v: Pieces) -> tuple[list, list]:
+    """Best scores of every node, over edges that start before ``stop``, and back pointers.
+
+    ``entries``: scores of the first nodes, where paths may enter. A node keeps the edge that starts
+    first among equal ones, and its entry before any edge, since what enters started before.
+    """
     best, back = [LOW] * (len(s) + 1), [None] * (len(s) + 1)
-    best[start] = 0.0
-    for a in range(start, stop):
+    best[: len(entries)] = [float(x) for x in entries[: len(s) + 1]]
+    for a in range(stop):
         at = best[a]
         if at == LOW:
             continue
@@ -154,13 +177,14 @@ def _unknown_ids(c: str, v: Pieces) -> list[int]:
     return [v.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if v.byte_ids else [v.unknown]
 
 
-def _ids_back(s: str, start: int, end: int, back: list, v: Pieces) -> list[int]:
+def _ids_back(s: str, end: int, back: list, v: Pieces) -> tuple[int, list[int]]:
+    """(node where the path that ends at ``end`` enters, its ids)."""
     out, at = [], end
-    while at != start:
+    while back[at] is not None:
         a, i = back[at]
         out.extend([i] if i >= 0 else _unknown_ids(s[a:at], v)[::-1])
         at = a
-    return out[::-1]
+    return at, out[::-1]
 
 
 def _unit(u: str, v: Pieces) -> bytes:
@@ -172,21 +196,23 @@ def _unit(u: str, v: Pieces) -> bytes:
     if found is not None:
         v.cache[u] = found
         return found
-    n, get, unknown = len(u), v.trie.get, v.unknown_score
+    n, trie, unknown = len(u), v.trie, v.unknown_score
     best, back, ids = [LOW] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     best[0] = 0.0
     for a in range(n):
-        at, single = best[a], False
-        for e in range(a + 1, n + 1):
-            hit = get(u[a:e], False)
-            if hit is False:
+        at, nexts, e, single = best[a], trie, a, False
+        for c in u[a:] if a else u:
+            node = nexts.get(c)
+            if node is None:
                 break
-            if hit is not None:
+            nexts, w, i = node
+            e += 1
+            if w is not None:
                 if e == a + 1:
                     single = True
-                w = at + hit[0]
+                w += at
                 if w > best[e]:
-                    best[e], back[e], ids[e] = w, a, hit[1]
+                    best[e], back[e], ids[e] = w, a, i
         if not single and at + unknown > best[a + 1]:
             best[a + 1], back[a + 1], ids[a + 1] = at + unknown, a, -1
     path, at = [], n
@@ -208,38 +234,49 @@ def _unit(u: str, v: Pieces) -> bytes:
 def encode_whole(s: str, v: Pieces) -> np.ndarray:
     """Ids of a normalised text in one piece. Units that no piece crosses are encoded apart."""
     if v.unit is None:
-        _, back = viterbi(s, 0, len(s), v)
-        return np.array(_ids_back(s, 0, len(s), back, v), np.int32)
+        return np.array(_ids_back(s, len(s), viterbi(s, [0.0], len(s), v)[1], v)[1], np.int32)
     out = []
+    get = v.cache.get
     for u in v.unit.findall(s):
         if u:
-            out.append(v.cache.get(u) or _unit(u, v))
+            found = get(u)
+            if found is None:
+                found = _unit(u, v)
+                get = v.cache.get
+            out.append(found)
     return np.frombuffer(b"".join(out), "<i4")
 
 
-def _cuts(s: str, v: Pieces) -> list[int]:
-    """Ends of units: nodes that every path visits."""
-    return [m.end() for m in v.unit.finditer(s) if m.end() > m.start()] if v.unit else []
+def middle(s: str, size: int, v: Pieces) -> tuple[int, int] | None:
+    """First and last unit end of a chunk that every path visits and no way in lies behind, if there are any."""
+    if v.unit is None or size < v.longest:
+        return None
+    first = last = None
+    for m in v.unit.finditer(s):
+        if m.end() > size:
+            break
+        if m.end() > m.start() and m.end() >= v.longest - 1:
+            first = m.end() if first is None else first
+            last = m.end()
+    return None if first is None else (first, last)
 
 
-def transfer(s: str, size: int, v: Pieces) -> np.ndarray:
+def transfer(s: str, size: int, v: Pieces, cuts: tuple[int, int] | None) -> np.ndarray:
     """The matrix of a chunk: ``size`` characters of ``s``, whose rest is what pieces may reach into.
 
     Entry [i, j]: best score of a path from node i to node size + j whose edges start before
-    ``size``. Where nodes exist that every path visits, the matrix is a sum of a vector for the
-    front, a number for the middle and a vector for the back; that number is the same for every
-    way and cannot decide between them, so it is left out. Else all entries are carried along.
+    ``size``. Between ``cuts``, nodes that every path visits, all ways share one best path: its ids
+    are known at once, and its score, the same in every entry, is left out.
     """
     L = v.longest
     out = np.full((L, L), LOW)
-    cuts = [c for c in _cuts(s, v) if L - 1 <= c <= size] if size >= L else []
     if cuts:
-        c, d = cuts[0], cuts[-1]
+        c, d = cuts
         front = [LOW] * (c + 1)
         front[c] = 0.0
         for a in range(c - 1, -1, -1):
             front[a] = max((w + front[e] for e, w, _ in edges_from(s, a, v) if e <= c), default=LOW)
-        back, _ = viterbi(s[d:], 0, size - d, v)
+        back, _ = viterbi(s[d:], [0.0], size - d, v)
         tail = [back[size - d + j] if size + j <= len(s) else LOW for j in range(L)]
         return np.array(front[:L])[:, None] + np.array(tail)[None, :]
     best = np.full((len(s) + L + 1, L), LOW)
@@ -254,43 +291,56 @@ def transfer(s: str, size: int, v: Pieces) -> np.ndarray:
 
 
 def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product, the associative step of the scan."""
-    return (a[:, :, None] + b[None, :, :]).max(1)
+    """Max-plus products of stacked matrices, the associative step of the scan."""
+    out = np.full(a.shape[:-1] + b.shape[-1:], LOW)
+    for k in range(a.shape[-1]):
+        np.maximum(out, a[..., :, k, None] + b[..., k, None, :], out=out)
+    return out
 
 
-def borders(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(entry, exit) of each chunk on a best path from the text's start to its end."""
-    prefix = [matrices[0][:1]]
-    for m in matrices[1:]:
-        prefix.append(maxplus(prefix[-1], m))
-    out, j = [], 0
-    for k in range(len(matrices) - 1, -1, -1):
-        i = int(np.argmax(prefix[k - 1][0] + matrices[k][:, j])) if k else 0
-        out.append((i, j))
-        j = i
-    return out[::-1]
+def ways_in(matrices: np.ndarray) -> np.ndarray:
+    """For each chunk, the best score of every way into it: an inclusive scan of (n, L, L) matrices by doubling."""
+    n, L = matrices.shape[:2]
+    scan, step = matrices.copy(), 1
+    while step < n:
+        scan[step:] = maxplus(scan[:-step], scan[step:])
+        # Only differences count; this keeps left-out scores and exact sums small.
+        top = scan.max(axis=(1, 2), keepdims=True)
+        scan -= np.where(np.isfinite(top), top, 0.0)
+        step *= 2
+    out = np.full((n, L), LOW)
+    out[0, 0] = 0.0
+    out[1:] = scan[:-1, 0]
+    return out
 
 
-def backtrace(s: str, size: int, entry: int, leave: int, v: Pieces) -> list[int]:
-    """Ids of a chunk, given where its path enters and leaves."""
+def entries_of(s: str, size: int, cuts: tuple[int, int] | None, into: np.ndarray, v: Pieces) -> list[int]:
+    """For every way out of a chunk, the way in of the path that the rule takes."""
+    L = v.longest
+    if cuts:
+        return [_ids_back(s, cuts[0], viterbi(s[: cuts[0]], into, cuts[0], v)[1], v)[0]] * L
+    best, back = viterbi(s, into, size, v)
+    return [_ids_back(s, size + j, back, v)[0] if size + j <= len(s) and best[size + j] > LOW else 0 for j in range(L)]
+
+
+def ways_out(maps: np.ndarray) -> np.ndarray:
+    """The way out of each chunk: the maps (n, L) from way out to way in, combined from the text's end."""
+    out = np.zeros(len(maps), np.int64)
+    for k in range(len(maps) - 1, 0, -1):
+        out[k - 1] = maps[k, out[k]]
+    return out
+
+
+def backtrace(s: str, size: int, cuts: tuple[int, int] | None, inner: np.ndarray | None, into: np.ndarray, leave: int, v: Pieces) -> list[int]:
+    """Ids of a chunk, given the scores of its ways in and where its path leaves; ``inner``: the ids between its cuts."""
     end = size + leave
-    if entry == end:
-        return []
-    cuts = [c for c in _cuts(s, v) if entry <= c <= size]
     if not cuts:
-        _, back = viterbi(s, entry, size, v)
-        return _ids_back(s, entry, end, back, v)
-    c, d = cuts[0], cuts[-1]
-    head, tail = s[entry:c], s[d:end]
-    out = []
-    if head:
-        best, back = viterbi(head, 0, len(head), v)
-        out += _ids_back(head, 0, len(head), back, v)
-    out += encode_whole(s[c:d], v).tolist()
-    if tail:
-        _, back = viterbi(tail, 0, min(len(tail), size - d), v)
-        out += _ids_back(tail, 0, len(tail), back, v)
-    return out
+        return _ids_back(s, end, viterbi(s, into, size, v)[1], v)[1]
+    c, d = cuts
+    _, head = _ids_back(s[:c], c, viterbi(s[:c], into, c, v)[1], v)
+    tail = s[d:end]
+    _, rest = _ids_back(tail, len(tail), viterbi(tail, [0.0], min(len(tail), size - d), v)[1], v)
+    return head + inner.tolist() + rest
 
 
 def decode_ids(ids: np.ndarray, v: Pieces) -> str:
@@ -311,46 +361,70 @@ def decode_ids(ids: np.ndarray, v: Pieces) -> str:
     return out[1:] if v.dummy_prefix and out.startswith(" ") else out
 
 
-def _encode_rows(model: bytes, at: int, chunk: int):
-    """Small texts are encoded at once; giant ones leave as chunks (pos >= 0) with the reach of a piece."""
+_MATRIX = "row string, pos int, size int, front int, last int, head string, tail string, inner array<int>, matrix binary"
+
+
+def _chunks(at: int, chunk: int, v_of):
+    """Giant texts as chunks, with the reach of a piece behind each."""
 
     def run(batches):
-        v = parse_model(model)
+        v = v_of()
         for batch in batches:
             texts = batch.column(at)
-            for lo, hi in row_slices([len(x.as_buffer() or b"") if x.is_valid else 0 for x in texts]):
-                rows, ids, pos, size, parts = [], [], [], [], []
-                for i in range(lo, hi):
-                    s = normalize(texts[i].as_py() or "", v)
-                    if len(s) <= chunk:
-                        rows.append(i), ids.append(encode_whole(s, v)), pos.append(-1), size.append(0), parts.append(None)
-                        continue
-                    for k, a in enumerate(range(0, len(s), chunk)):
-                        rows.append(i), ids.append(None), pos.append(k), size.append(min(chunk, len(s) - a)), parts.append(s[a : a + chunk + v.longest - 1])
-                take = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(parts, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["row", "pos", "size", "part", "ids"])
+            for i in range(batch.num_rows):
+                s = normalize(texts[i].as_py() or "", v)
+                starts = range(0, max(1, len(s)), chunk)
+                for lo in range(0, len(starts), 64):
+                    part = starts[lo : lo + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(part)), pa.array(range(lo, lo + len(part)), pa.int32()), pa.array([min(chunk, len(s) - a) for a in part], pa.int32()), pa.array([s[a : a + chunk + v.longest - 1] for a in part], pa.string())], names=["row", "pos", "size", "part"])
 
     return run
 
 
 def _matrices(model: bytes):
+    """Chunks with their matrix, and what is left to trace: all of the text, or what lies before and behind the cuts."""
+
     def run(batches):
         v = parse_model(model)
         for batch in batches:
-            out = [transfer(s, n, v).astype("<f8").tobytes() for s, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["row", "pos", "matrix"])
+            for row, pos, size, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                cuts = middle(s, size, v)
+                c, d = cuts or (-1, -1)
+                inner = encode_whole(s[c:d], v) if cuts else None
+                made = [row], [pos], [size], [c], [d], [s[:c] if cuts else s], [s[d:] if cuts else ""], [inner], [transfer(s, size, v, cuts).astype("<f8").tobytes()]
+                kinds = pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=_MATRIX.replace(",", "").split()[::2])
 
     return run
 
 
-def _scan(pdf):
-    import pandas as pd  # here only: the other tasks' workers need not hold it
+def _scan(table: pa.Table) -> pa.Table:
+    table = table.sort_by("pos")
+    flat = np.stack([np.frombuffer(m, "<f8") for m in table.column("matrix").to_pylist()])
+    n = int(round(flat.shape[1] ** 0.5))
+    into = ways_in(flat.reshape(-1, n, n))
+    return pa.table({"row": table.column("row"), "pos": table.column("pos"), "into": pa.array([x.astype("<f8").tobytes() for x in into], pa.binary())})
+
 
-    pdf = pdf.sort_values("pos")
-    mats = [np.frombuffer(m, "<f8") for m in pdf["matrix"]]
-    n = int(round(len(mats[0]) ** 0.5))
-    ways = borders([m.reshape(n, n) for m in mats])
-    return pd.DataFrame({"row": pdf["row"].to_numpy(), "pos": pdf["pos"].to_numpy(), "entry": [w[0] for w in ways], "leave": [w[1] for w in ways]})
+def _leave(table: pa.Table) -> pa.Table:
+    table = table.sort_by("pos")
+    out = ways_out(np.array(table.column("ways").to_pylist(), np.int64))
+    return pa.table({"row": table.column("row"), "pos": table.column("pos"), "leave": pa.array(out, pa.int32())})
+
+
+def _cuts_of(front: int, last: int) -> tuple[int, int] | None:
+    return (front, last) if front >= 0 else None
+
+
+def _entries(model: bytes):
+    def run(batches):
+        v = parse_model(model)
+        for batch in batches:
+            c = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            out = [entries_of(head, size, _cuts_of(front, last), np.frombuffer(into, "<f8"), v) for _, _, size, front, last, head, into in zip(*c, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["row", "pos", "ways"])
+
+    return run
 
 
 def _trace(model: bytes):
@@ -358,7 +432,12 @@ def _trace(model: bytes):
         v = parse_model(model)
         for batch in batches:
             c = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            out = [np.asarray(backtrace(s, n, i, j, v), np.int32) for s, n, i, j in zip(c[2], c[3], c[4], c[5], strict=True)]
+            out = []
+            for _, _, size, front, last, head, tail, inner, into, leave in zip(*c, strict=True):
+                cuts = _cuts_of(front, last)
+                # Cut chunks hold no middle text: its place is kept, so that nodes have their numbers.
+                s = head + "\0" * (last - front) + tail if cuts else head
+                out.append(np.asarray(backtrace(s, size, cuts, None if inner is None else np.asarray(inner, np.int32), np.frombuffer(into, "<f8"), leave, v), np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["row", "pos", "ids"])
 
     return run
@@ -371,8 +450,9 @@ def encode(docs: DataFrame, model: bytes, scratch: Scratch, text_col: str = "tex
     were encoded, so that ids need not pass through the JVM. The result is then the function's.
 
     Rows within one chunk are encoded where they are, without a shuffle. Only giant texts are cut;
-    their chunks are written once, scored on any executor, combined a text at a time (2 KB a chunk),
-    backtraced on any executor and joined to their rows by content. Null and empty texts have no ids.
+    their chunks are scored on any executor, scanned a text at a time (2 KB a chunk), backtraced on
+    any executor and joined to their rows by content. Ids do not depend on ``chunk``. Null and empty
+    texts have no ids.
     """
     names = [n for n in docs.columns if n != ids_col]
     inner = [f"__c{i}" for i in range(len(names))]
@@ -390,14 +470,19 @@ def encode(docs: DataFrame, model: bytes, scratch: Scratch, text_col: str = "tex
             for lo, hi in row_slices([len(x.as_buffer() or b"") if x.is_valid else 0 for x in texts], 2 << 20):
                 ids = [encode_whole(normalize(str(t.as_py() or ""), v), v) for t in texts.slice(lo, hi - lo)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns)), pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "__ids"])
+        v.cache, v.older = {}, {}  # what a task remembers goes with it
 
-    done = small.mapInArrow(whole, f"{fields}, __ids array<int>") if finish is None else small.mapInArrow(lambda batches: finish[0](whole(batches)), finish[1])
+    done = small.mapInArrow(lean(whole), f"{fields}, __ids array<int>") if finish is None else small.mapInArrow(lean(lambda batches: finish[0](whole(batches))), finish[1])
     # Giant rows are named by their content, so that a task run again names them alike; rows alike share their ids.
     large = rows.where(giant).withColumn("__row", F.sha2(F.col(text).cast("string"), 256))
     texts = large.select("__row", F.col(text).cast("string").alias("t")).groupBy("__row").agg(F.first("t").alias("t"))
-    chunks = scratch.save(texts.mapInArrow(_encode_rows(model, 1, chunk - 1), "row string, pos int, size int, part string, ids array<int>").repartition("row", "pos"))
-    ways = chunks.mapInArrow(_matrices(model), "row string, pos int, matrix binary").groupBy("row").applyInPandas(_scan, "row string, pos int, entry int, leave int")
-    traced = chunks.join(ways, ["row", "pos"]).select("row", "pos", "part", "size", "entry", "leave").mapInArrow(_trace(model), "row string, pos int, ids array<int>")
+    cut = texts.mapInArrow(_chunks(1, max(chunk - 1, 1), lambda: parse_model(model)), "row string, pos int, size int, part string").repartition("row", "pos")
+    chunks = scratch.save(cut.mapInArrow(lean(_matrices(model)), _MATRIX))
+    into = scratch.save(chunks.select("row", "pos", "matrix").groupBy("row").applyInArrow(_scan, "row string, pos int, into binary"))
+    told = chunks.join(into, ["row", "pos"])
+    maps = told.select("row", "pos", "size", "front", "last", "head", "into").mapInArrow(_entries(model), "row string, pos int, ways array<int>")
+    ways = maps.groupBy("row").applyInArrow(_leave, "row string, pos int, leave int")
+    traced = told.join(ways, ["row", "pos"]).select("row", "pos", "size", "front", "last", "head", "tail", "inner", "into", "leave").mapInArrow(_trace(model), "row string, pos int, ids array<int>")
     joined = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("__ids"))
     big = large.join(joined, large["__row"] == joined["row"]).select(*inner, "__ids")
     if finish is not None:
@@ -421,7 +506,10 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "
 
 
 def piece_digests(docs: DataFrame, model: bytes, scratch: Scratch) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, round_trip): digest of little-endian 32-bit ids; does decoding give the text back?"""
+    """(doc_id, n_tokens, ids_sha256, round_trip): digest of little-endian 32-bit ids; does decoding give the text back?
+
+    It does not where a text holds U+2581, which a vocabulary reads as a space.
+    """
 
     def run(batches):
         import hashlib
@@ -432,7 +520,7 @@ def piece_digests(docs: DataFrame, model: bytes, scratch: Scratch) -> DataFrame:
             cuts = batch.column(2).offsets.to_numpy()
             for lo in range(0, batch.num_rows, 512):
                 each = [flat[a:b] for a, b in zip(cuts[lo : lo + 512].tolist(), cuts[lo + 1 : lo + 513].tolist(), strict=False)]
-                texts = [(t or "").replace(SPACE, " ") for t in batch.column(1).slice(lo, 512).to_pylist()]
+                texts = [t or "" for t in batch.column(1).slice(lo, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array([len(x) for x in each], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in each]), pa.array([decode_ids(x, v) == t for x, t in zip(each, texts, strict=True)])], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     return encode(docs.select("doc_id", "text"), model, scratch, finish=(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean"))

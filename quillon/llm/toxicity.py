@@ -8,10 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import keyed, named
+from quillon.llm.common import bounded_batches, keyed, lean, named, row_slices
 
 #: At most so many labelled rows are fitted, the first in a seeded order of their ids.
 MAX_TRAINING_ROWS = 5000
@@ -22,7 +23,9 @@ STEMS = (2, 3, 4, 5, 6)
 FOLDS = 5
 TOKEN = re.compile(r"\w+")
 #: Words remembered by a scoring task before it forgets them all; results do not depend on it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
+#: Rows and bytes of text scored at a time.
+SCORE_ROWS, SCORE_BYTES = 256, 4 << 20
 #: Shape features of a text, whatever its words.
 N_SHAPE = 6
 
@@ -251,11 +254,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
 def _scorer(chain: list[Link], judged: int):
     def run(batches):
         cache: dict = {}
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            p = score_texts(texts, chain, cache)
-            flag = (p[:, judged] >= chain[judged].threshold) & np.array([bool(t and TOKEN.search(t)) for t in texts], bool)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(np.round(p[:, i], 6)) for i in range(len(chain))), pa.array(flag)], names=[*batch.schema.names[:-1], *(f"__p{i}" for i in range(len(chain))), "__flag"])
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0).to_pylist()
+            cuts = [(lo, min(lo + SCORE_ROWS, b)) for a, b in row_slices(sizes, SCORE_BYTES) for lo in range(a, b, SCORE_ROWS)]
+            for lo, hi in cuts:
+                batch = whole.slice(lo, hi - lo)
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                p = score_texts(texts, chain, cache)
+                flag = (p[:, judged] >= chain[judged].threshold) & np.array([bool(t and TOKEN.search(t)) for t in texts], bool)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(np.round(p[:, i], 6)) for i in range(len(chain))), pa.array(flag)], names=[*batch.schema.names[:-1], *(f"__p{i}" for i in range(len(chain))), "__flag"])
 
     return run
 
@@ -268,6 +275,7 @@ def score(docs: DataFrame, chain: list[Link], judged: str, text_col: str = "text
     rejected. Extra columns pass through; one called like a result
     is replaced.
     """
+    bounded_batches(docs.sparkSession)
     names = [m.name for m in chain]
     outs = [f"p_{n}" for n in names] + ["rejected"]
     inner = [f"__c{i}" for i in range(len(docs.columns))]
@@ -275,5 +283,5 @@ def score(docs: DataFrame, chain: list[Link], judged: str, text_col: str = "text
     text = inner[docs.columns.index(text_col)]
     rows = rows.select(*inner, F.col(text).cast("string").alias("__text"))
     kinds = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"__p{i} double" for i in range(len(names))] + ["__flag boolean"])
-    done = rows.mapInArrow(_scorer(chain, names.index(judged)), kinds)
+    done = rows.mapInArrow(lean(_scorer(chain, names.index(judged))), kinds)
     return done.select(*[F.col(c).alias(n) for c, n in zip(inner, docs.columns, strict=True) if n not in outs], *[F.col(f"__p{i}").alias(o) for i, o in enumerate(outs[:-1])], F.col("__flag").alias("rejected"))
