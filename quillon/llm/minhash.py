@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.blocks import Labels, deal_to_pairs, groups
-from quillon.llm.common import Scratch, keyed, row_slices
+from quillon.llm.common import Scratch, keyed, lean, row_slices
 from quillon.llm.components import connected_components
 
 SHINGLE = 5
@@ -28,8 +28,8 @@ _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(int(_rng.integers(0, 2**62)) * 4 + 3)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _PLACE = _rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_A = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_B = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
+_A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)[:, None]
+_B = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)[:, None]
 _BAND = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SALT = _rng.integers(0, 2**64, BANDS, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -99,12 +99,23 @@ def text_set(text: bytes | None) -> np.ndarray:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each universal hash a * x + b mod 2^32 over a set."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(x), 1024):
-        np.minimum(out, (_A * x[lo : lo + 1024] + _B).min(1), out=out)
-    return out
+    """The least value of each hash over a set: (a * x + b mod 2^64) >> 32 of 32-bit x, a universal family.
+
+    The shift keeps the order, so it is done once, behind the minimum.
+    """
+    x = shingles >> np.uint64(32)
+    out, room = np.full(HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64), np.empty((HASHES, min(len(x), 512)), np.uint64)
+    for lo in range(0, len(x), 512):
+        part = x[lo : lo + 512]
+        now = np.multiply(_A, part, out=room[:, : len(part)])
+        now += _B
+        np.minimum(out, now.min(1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def signature(low: np.ndarray) -> np.ndarray:
+    """A byte of each minimum that depends on all of its bits."""
+    return (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
@@ -116,19 +127,19 @@ def _split(batch, column: int):
     """Slices of a batch with the word hashes of each of their texts, hashed together."""
     texts = batch.column(column).cast(pa.large_binary())
     raw = texts.to_pylist()
-    for lo, hi in row_slices([len(t or b"") for t in raw], 4 << 20):
+    for lo, hi in row_slices([len(t or b"") for t in raw], 1 << 20):
         joined = b" ".join(t or b"" for t in raw[lo:hi])
         hashes, starts = word_hashes(np.frombuffer(joined, np.uint8))
         ends = np.cumsum([len(t or b"") + 1 for t in raw[lo:hi]])
         yield lo, hi, np.split(hashes, np.searchsorted(starts, ends[:-1]))
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def _sign(batches):
     for batch in batches:
-        for lo, hi, words in _split(batch, 1):
+        for lo, hi, words in _split(batch, 2):
             n, keys, bands, sigs = [], [], [], []
             for w in words:
                 s = shingle_set(w)
@@ -137,11 +148,11 @@ def _sign(batches):
                 if len(s):
                     low = minima(s)
                     bands.append(band_keys(low).view(np.int64))
-                    sigs.append((low & np.uint32(255)).astype(np.uint8).tobytes())
+                    sigs.append(signature(low).tobytes())
                 else:
                     bands.append(None), sigs.append(None)
             key = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], schema=_SIGNED)
 
 
 def equal_minima(sigs: np.ndarray, i: int, start: int, stop: int) -> np.ndarray:
@@ -191,7 +202,7 @@ def spanning_links(sets: list[np.ndarray], apart: int = 0) -> list[tuple[int, in
     Pairs are taken by falling signature agreement, so most are known to be connected before their
     turn and are skipped; every other pair that passes the screen is confirmed on the full sets.
     """
-    sigs = np.stack([(minima(s) & np.uint32(255)).astype(np.uint8) for s in sets])
+    sigs = np.stack([signature(minima(s)) for s in sets])
     sizes, n = np.array([len(s) for s in sets]), len(sets)
     left, right, score = [], [], []
     for i in range(apart or n - 1):
@@ -232,11 +243,16 @@ def _sets(batches):
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``: see ``near_duplicate_rows``."""
+    return near_duplicate_rows(docs, scratch, id_col, text_col).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicate_rows(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tkey, n_shingles, component_id, stays) of every row of ``docs``.
 
     1. Each text gives its distinct 5-word shingles, their 200 minima and 40 band keys. Equal sets
-       become one class, named by its smallest doc_id, so groups of copies shrink before anything
-       else (pre-aggregated on the map side).
+       become one class, held by its smallest (doc_id, tkey), so groups of copies shrink before
+       anything else (pre-aggregated on the map side).
     2. Classes meet in the buckets of their bands. Buckets with the same members are looked at
        once. A bucket's signatures are compared in pairs of chunks of 256, which give a spanning
        forest of the pairs that agree in at least 122 minima: links grow with members, not pairs.
@@ -247,12 +263,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     Every pair that shares a band and passes the screen is either confirmed on full sets or already
     connected through confirmed links, so the components equal those of all such links. Null and
     empty texts have no shingles and link with nothing. Rows without doc_id take no part: their
-    component_id is null and they are kept. Rows that share a doc_id count as one document.
+    component_id is null and they are kept. Rows that share a doc_id are documents of their own,
+    linked by their texts only; ``component_id`` is the smallest doc_id of the linked rows.
+
+    ``tkey`` is the hash of the text that tells rows of one doc_id apart. ``stays`` marks the rows
+    of one (doc_id, tkey) of each component, the smallest; rows that link with nothing stay.
     """
-    rows = keyed(docs, id_col, text_col).select("doc_id", "text")
-    signed = scratch.save(rows.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary"))
+    rows = keyed(docs, id_col, text_col).select("doc_id", "tkey", "text")
+    signed = scratch.save(rows.mapInArrow(lean(_sign), "doc_id long, tkey long, n long, k1 long, k2 long, bands array<long>, sig binary"))
     known = signed.where("doc_id is not null and n > 0")
-    classes = scratch.save(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))  # a number of its own, fixed once written
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     mark = F.xxhash64("node")
     buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("y")).where("m > 1")
@@ -262,15 +283,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     alike = scratch.save(dealt.mapInArrow(_screen, "a long, b long"))
     clusters = scratch.save(connected_components(alike, scratch).withColumnRenamed("component", "cluster"))
     weights = clusters.join(classes.select("node", "n"), "node").groupBy("cluster").agg(F.ceil(F.sum(F.col("n") * 8 + 64) / SET_CHUNK).alias("chunks"))
-    # The texts of class representatives only; a class's other rows hold the same set.
-    wanted = clusters.join(weights, "cluster")
-    texts = wanted.join(rows.where("doc_id is not null"), F.col("node") == F.col("doc_id")).select("cluster", "node", "text", "chunks")
-    sets = texts.mapInArrow(_sets, "cluster long, node long, chunks long, shingles binary")
+    # The text of one row of each class only; its other rows hold the same set.
+    wanted = clusters.join(weights, "cluster").join(classes.select("node", "one.*"), "node")
+    texts = rows.join(wanted, ["doc_id", "tkey"]).select("cluster", "node", "text", "chunks").dropDuplicates(["node"])
+    sets = texts.mapInArrow(lean(_sets), "cluster long, node long, chunks long, shingles binary")
     pairs = deal_to_pairs(sets, "cluster", F.col("node"), F.col("chunks")).select("cluster", "i", "j", "c", "node", "shingles")
-    links = scratch.save(pairs.mapInArrow(_verify, "a long, b long"))
+    links = scratch.save(pairs.mapInArrow(lean(_verify), "a long, b long"))
     found = connected_components(links, scratch)
-    ids = classes.select("k1", "k2", "node").join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n", "k1", "k2").join(ids, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.least("component", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    first = found.join(classes.select("node", "one"), "node").groupBy("component").agg(F.min("one").alias("first"))
+    ids = classes.select("k1", "k2", "node", "one").join(found.join(first, "component").select("node", "first"), "node", "left").select("k1", "k2", F.coalesce("first", "one").alias("first"))
+    linked = signed.where("doc_id is not null and n > 0").select("doc_id", "tkey", "n", "k1", "k2").join(ids, ["k1", "k2"])
+    linked = linked.select("doc_id", "tkey", "n", F.col("first.doc_id").alias("component_id"), ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))).alias("stays"))
+    alone = signed.where("doc_id is null or n = 0").select("doc_id", "tkey", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return linked.unionAll(alone).withColumnRenamed("n", "n_shingles")
