@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +12,8 @@ from quillon.llm.common import WORD, Scratch, named
 
 #: Most copies of a document in a mix, and the most a target may exceed its source.
 MAX_REPEATS = 3
-#: Bits of the seeded order that one refinement step resolves, and how many steps there are.
-STEP_BITS, STEPS = 12, 5
+#: Bits of the seeded order, and the most that one refinement step resolves.
+ORDER_BITS, STEP_BITS = 60, 12
 
 
 def words(text: Column) -> Column:
@@ -93,17 +93,20 @@ def cut_points(rows: DataFrame, quota: dict) -> list[tuple[int, int, int]]:
 
     ``rows`` is (pattern int, size long, u long of 60 bits). base is floor(quota / tokens); the rest
     of the quota is met from the front of the seeded order u. The cut is found by histogram
-    refinement: each step sums sizes in 2^12 intervals of the one interval that holds the cut, so
-    no task ever sorts or holds a source's rows, however large the source is.
+    refinement: each step sums sizes in the cells of the one interval that holds the cut, so no task
+    ever sorts or holds a source's rows, however large the source is. A step's cells of all patterns
+    together are some 2^20 at most, or two a pattern.
     """
     totals = {r["pattern"]: r["tokens"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("tokens")).collect()}
     base = {p: (int(quota.get(p, 0) // t) if t else 0) for p, t in totals.items()}
     rest = {p: float(quota.get(p, 0)) - base[p] * t for p, t in totals.items()}
     cut = dict.fromkeys(totals, 0)
-    for step in range(STEPS):
-        shift = 60 - STEP_BITS * (step + 1)
-        heads = rows.sparkSession.createDataFrame([(p, c >> (shift + STEP_BITS)) for p, c in cut.items()], "pattern int, head long")
-        inside = rows.join(F.broadcast(heads), "pattern").where(F.shiftrightunsigned("u", shift + STEP_BITS) == F.col("head"))
+    bits = max(1, min(STEP_BITS, 20 - len(totals).bit_length()))
+    shift = ORDER_BITS
+    while shift:
+        above, shift = shift, max(0, shift - bits)
+        heads = rows.sparkSession.createDataFrame([(p, c >> above) for p, c in cut.items()], "pattern int, head long")
+        inside = rows.join(heads, "pattern").where(F.shiftrightunsigned("u", above) == F.col("head"))
         cells: dict = {}
         for r in inside.groupBy("pattern", F.shiftrightunsigned("u", shift).alias("cell")).agg(F.sum("size").alias("tokens")).collect():
             cells.setdefault(r["pattern"], []).append((r["cell"], r["tokens"]))
@@ -112,7 +115,7 @@ def cut_points(rows: DataFrame, quota: dict) -> list[tuple[int, int, int]]:
             for cell, tokens in found:
                 cut[p] = cell << shift
                 if tokens > rest[p] or cell == found[-1][0]:
-                    if step == STEPS - 1 and rest[p] >= tokens / 2 > 0:
+                    if not shift and rest[p] >= tokens / 2 > 0:
                         cut[p] = (cell + 1) << shift
                     break
                 rest[p] -= tokens
@@ -125,31 +128,58 @@ def default_weights(sources: list) -> dict:
     return {s: (5, 2, 1)[i % 3] for i, s in enumerate(ordered)}
 
 
-def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, seed: int = 17) -> DataFrame:
+def _numbered(rows: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
+    """``rows``, which repeat their ``__u``, with one of its own for each: the hash of the old one and a number.
+
+    Rows of one ``__u`` are counted within what one task wrote, then those counts are added up, so
+    no task meets all rows of a large group.
+    """
+    rows = scratch.save(rows.withColumn("__at", F.monotonically_increasing_id())).withColumn("__task", F.shiftright("__at", 33))
+    parts = rows.groupBy("__u", "__task").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__u").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__u", "__task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    number = F.row_number().over(Window.partitionBy("__u", "__task").orderBy("__at")) + F.col("__before")
+    return rows.join(parts, ["__u", "__task"]).withColumn("__n", number).withColumn("__u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__u", "__n"), 64 - ORDER_BITS)).drop("__at", "__task", "__before", "__n")
+
+
+def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, seed: int = 17, text: bool = True) -> DataFrame:
     """``docs`` plus ``__size``, ``__source_size``, ``__target``, ``__taken``, ``__copies``.
 
     ``source_col`` holds a source or an array of sources (a document in several); null is a source
     of its own, and an empty array counts as null. ``weights`` default to 5, 2, 1 repeating.
     Documents are first added up by membership pattern; the driver then sees one row a pattern
     (their number is that of distinct source sets, not of documents) and routes tokens to quotas.
-    Order within a pattern is a hash of seed, id and text, so reruns agree; rows alike in id and
-    text are taken together. Documents without words have size 0 and are taken 0 words. No row is
-    taken more than 3 times.
+    Order within a pattern is a hash of seed, id and text, so reruns agree; rows alike in id and text
+    are numbered, and the number takes part in the hash, so the cut may fall between them. Documents
+    without words have size 0 and are taken 0 words. No row is taken more than 3 times. Input columns
+    called like an added one are replaced. Without ``text`` that column is left out, and texts are
+    read only once.
     """
+    added = ("__size", "__source_size", "__target", "__taken", "__copies")
     many = isinstance(docs.schema[source_col].dataType, T.ArrayType)
     inner = [f"__c{i}" for i in range(len(docs.columns))]
-    back = dict(zip(inner, docs.columns, strict=True))
+    back = {c: n for c, n in zip(inner, docs.columns, strict=True)}
     at = {v: k for k, v in back.items()}
     rows = docs.toDF(*inner)
     src = F.col(at[source_col])
     member = F.when(src.isNull() | (F.size(src) == 0), F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(src.cast("array<string>")))) if many else F.array(src.cast("string"))
-    rows = rows.withColumn("__size", words(F.col(at[text_col]).cast("string"))).withColumn("__member", member)
-    rows = rows.withColumn("__u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(at[id_col]), F.col(at[text_col]).cast("string")), 4))
-    slim = scratch.save(rows.select("__member", F.col("__size").alias("size"), F.col("__u").alias("u")))
-    sums = slim.groupBy("__member").agg(F.sum("size").alias("tokens")).collect()
+    # "+" and "-" make null sources equal in the key.
+    mark = lambda c: F.transform(c, lambda x: F.coalesce(F.concat(F.lit("+"), x), F.lit("-")))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(at[id_col]), F.col(at[text_col]).cast("string")), 64 - ORDER_BITS)
+    rows = rows.withColumn("__size", words(F.col(at[text_col]).cast("string"))).withColumn("__k", mark(member)).withColumn("__u", u)
+    if not text:
+        del back[at[text_col]]
+        rows = rows.drop(at[text_col])
+    slim = scratch.save(rows if not text else rows.select("__k", "__size", "__u"))
+    rows = rows if text else slim
+    alike = scratch.save(slim.groupBy("__u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__u"))
+    own = _numbered(rows.join(alike, "__u", "left_semi"), scratch, seed)
+    rows = rows.join(alike, "__u", "left_anti").unionByName(own)
+    slim = slim.join(alike, "__u", "left_anti").select("__k", "__size", "__u").unionAll(own.select("__k", "__size", "__u"))
+    sums = slim.groupBy("__k").agg(F.sum("__size").alias("tokens")).collect()
     spark = docs.sparkSession
-    sums = sorted(sums, key=lambda r: [(s is None, s or "") for s in r["__member"]])
-    members = {i: tuple(r["__member"]) for i, r in enumerate(sums)}
+    sums = sorted(sums, key=lambda r: [(s[0] == "-", s) for s in r["__k"]])
+    members = {i: tuple(None if s == "-" else s[1:] for s in r["__k"]) for i, r in enumerate(sums)}
     capacity = {i: int(r["tokens"] or 0) for i, r in enumerate(sums)}
     size_of: dict = {}
     for i, m in members.items():
@@ -161,20 +191,19 @@ def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     quota: dict = {}
     for (p, _), tokens in min_cost_flow(capacity, members, target).items():
         quota[p] = quota.get(p, 0) + tokens
-    # One row a membership pattern, so broadcast; "+" and "-" make null sources equal in the key.
-    mark = lambda c: F.transform(c, lambda x: F.coalesce(F.concat(F.lit("+"), x), F.lit("-")))
-    facts = [(i, list(m), float(sum(target.get(s, 0.0) for s in m)), sum(size_of[s] for s in m)) for i, m in members.items()]
-    facts = spark.createDataFrame(facts, "pattern int, member array<string>, __target double, __source_size long").withColumn("k", mark(F.col("member"))).drop("member")
-    slim = slim.withColumn("k", mark(F.col("__member"))).join(F.broadcast(facts.select("k", "pattern")), "k").select("pattern", "size", "u")
+    # One row a membership pattern; Spark broadcasts them while they are small.
+    facts = [(i, list(r["__k"]), float(sum(target.get(s, 0.0) for s in members[i])), sum(size_of[s] for s in members[i])) for i, r in enumerate(sums)]
+    facts = spark.createDataFrame(facts, "pattern int, __k array<string>, __target double, __source_size long")
+    slim = slim.join(facts.select("__k", "pattern"), "__k").select("pattern", F.col("__size").alias("size"), F.col("__u").alias("u"))
     cuts = spark.createDataFrame(cut_points(slim, quota), "pattern int, base int, cut long")
-    rows = rows.withColumn("k", mark(F.col("__member"))).join(F.broadcast(facts), "k").join(F.broadcast(cuts), "pattern")
+    rows = rows.join(facts, "__k").join(cuts, "pattern")
     copies = F.col("base") + F.when((F.col("__u") < F.col("cut")) & (F.col("base") < MAX_REPEATS), 1).otherwise(0)
-    return rows.select(*[F.col(c).alias(n) for c, n in back.items()], "__size", "__source_size", "__target", (copies * F.col("__size")).alias("__taken"), copies.alias("__copies"))
+    return rows.select(*[F.col(c).alias(n) for c, n in back.items() if n not in added], "__size", "__source_size", "__target", (copies * F.col("__size")).alias("__taken"), copies.alias("__copies"))
 
 
 def mix_report(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs``."""
-    out = mix(docs.select("doc_id", "text", "source"), scratch)
+    out = mix(docs.select("doc_id", "text", "source"), scratch, text=False)
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
