@@ -168,8 +168,8 @@ def test_embedding_near_dedup(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], VEC)
     got = {r.vec_id: (r.n_links, r.component_id) for r in epsilon.near_vectors(df, Scratch(spark, "t")).collect()}
     assert got == brute.near_vectors(rows)
-    monkeypatch.setattr(epsilon, "BLOCK", 37)
-    monkeypatch.setattr(epsilon, "LEAF", 8)
+    for name, value in {"BLOCK": 17, "LEAF": 8, "GROUP_LEAST": 20, "GROUP_MOST": 40, "FAN": 2}.items():
+        monkeypatch.setattr(epsilon, name, value)
     got = {r.vec_id: (r.n_links, r.component_id) for r in epsilon.near_vectors(df, Scratch(spark, "t")).collect()}
     assert got == brute.near_vectors(rows)
 
@@ -180,15 +180,24 @@ def test_embedding_near_dedup_empty(spark):
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in odd) == [("1", 0, True), ("None", 0, True)]
 
 
-def test_block_skipping_is_safe():
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_near_dedup_norms_and_repeats(spark, kind):
+    """Tiny and huge vectors are compared by direction; rows of one id are linked by their vectors only."""
+    small, large = (1e-40, 1e37) if kind == "float" else (1e-200, 1e200)
+    rows = [(9, [small] * 4), (2, [1.0, 1.0, 1.0, 1.01]), (5, [large] * 4), (7, [1.0, -1.0, 0.0, 0.0]), (7, [1.0, 1.0, 1.0, 1.0]), (8, [-1.0] * 4), (3, [small, 0.0, 0.0, large])]
+    out = epsilon.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), Scratch(spark, "t")).collect()
+    assert sorted(tuple(r) for r in out) == [(2, 3, 2, True), (3, 0, 3, True), (5, 3, 2, False), (7, 0, 7, True), (7, 3, 2, False), (8, 0, 8, True), (9, 3, 2, False)]
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_interval_pairs_lose_none(spark, monkeypatch, fan):
+    monkeypatch.setattr(epsilon, "FAN", fan)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(40, 3))
+    x = np.sort(rng.normal(size=(23, 3)), axis=0)
     low, high = x - 0.05, x + 0.05
-    near = set(epsilon.near_pairs(low, high, 0.3))
-    for i in range(40):
-        for j in range(i, 40):
-            if epsilon.gap(low[i], high[i], low[j], high[j]) <= 0.09:
-                assert (i, j) in near
+    boxes = spark.createDataFrame([(g, *map(float, low[g]), *map(float, high[g])) for g in range(23)], "g long, " + ", ".join(f"{c}{k} double" for c in "lh" for k in range(3)))
+    got = sorted(tuple(r) for r in epsilon.interval_pairs(boxes, 23, 3, 0.09, Scratch(spark, "t")).collect())
+    assert got == [(i, j) for i in range(23) for j in range(i, 23) if epsilon.gap(low[i], high[i], low[j], high[j]) <= 0.09]
 
 
 def test_top_k(spark, monkeypatch):
@@ -198,5 +207,32 @@ def test_top_k(spark, monkeypatch):
     assert [tuple(r) for r in topk.top_k(df, "id % 100 = 0", Scratch(spark, "t")).orderBy("query_id", "rank").collect()] == want
     monkeypatch.setattr(topk, "BLOCK", 50)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "GROUP", 60)
     assert [tuple(r) for r in topk.top_k(df, "id % 100 = 0", Scratch(spark, "t")).orderBy("query_id", "rank").collect()] == want
     assert topk.top_k(df.limit(0), "id % 100 = 0", Scratch(spark, "t")).count() == 0
+    monkeypatch.setattr(topk, "GROUP", 2)  # several groups of queries
+    assert [tuple(r) for r in topk.top_k(df, "id % 100 = 0", Scratch(spark, "t")).orderBy("query_id", "rank").collect()] == want
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(100, [1e16], 0, 0)], VEC), "id % 100 = 0", Scratch(spark, "t"))
+
+
+def test_minhash_rows_that_share_an_id(spark):
+    """Rows of one id are documents of their own; of rows alike in id and text one stays."""
+    a, b = "one two three four five six seven", "red green blue black white grey pink"
+    df = spark.createDataFrame([(5, a), (3, b), (5, b), (5, b), (3, b), (7, ""), (7, None), (None, a)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(df, Scratch(spark, "t")).collect() if r.doc_id is not None)
+    assert got == [(3, 3, 3, True), (3, 3, 3, True), (5, 3, 3, False), (5, 3, 3, False), (5, 3, 5, True), (7, 0, 7, True), (7, 0, 7, True)]
+    stay = [(r.doc_id, r.component_id) for r in minhash.near_duplicate_rows(df, Scratch(spark, "t")).where("stays and n_shingles > 0").collect()]
+    assert sorted(stay, key=str) == [(3, 3), (3, 3), (5, 5), (None, None)]
+
+
+def test_pipeline_stage_loses_no_unique_text(spark):
+    import corpus_pipeline as cp
+
+    a, b = "one two three four five six seven", "red green blue black white grey pink"
+    rows = [(5, a), (3, b), (5, b), (3, b), (7, ""), (7, None), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, tkey string")
+    out = cp.drop_near_copies(spark, df, "")
+    assert out.columns == list(cp.COLUMNS)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(5, a), (3, b), (7, ""), (7, None), (None, a)], key=str)
+    assert cp.drop_near_copies(spark, df.limit(0), "").count() == 0

@@ -84,22 +84,48 @@ def test_encode_equals_library(model):
         assert pieces.decode_ids(np.array(got, np.int64), v) == t.replace("▁", " ")
 
 
+def in_chunks(s, size, v):
+    parts = [(s[a : a + size + v.longest - 1], min(size, len(s) - a)) for a in range(0, len(s), size)]
+    cuts = [pieces.middle(x, n, v) for x, n in parts]
+    into = pieces.ways_in(np.stack([pieces.transfer(x, n, v, c) for (x, n), c in zip(parts, cuts)]))
+    leave = pieces.ways_out(np.array([pieces.entries_of(x, n, c, i, v) for (x, n), c, i in zip(parts, cuts, into)]))
+    inner = [pieces.encode_whole(x[c[0] : c[1]], v) if c else None for (x, _), c in zip(parts, cuts)]
+    return [k for (x, n), c, m, i, j in zip(parts, cuts, inner, into, leave) for k in pieces.backtrace(x, n, c, m, i, j, v)]
+
+
 @pytest.mark.parametrize("size", [1, 3, 17, 64])
-def test_chunked_scan_is_optimal(model, size):
-    """Chunks of any size give a path of the best score, which decodes to the text."""
+def test_chunks_of_any_size_give_the_same_ids(model, size):
     v = pieces.parse_model(model)
+    for t in [*TEXTS, "thequickbrownfoxjumpsoverthelazydog" * 4, "one two  three\n\nfour", "aaaa" * 30, "x1y22z333 " * 9]:
+        s = pieces.normalize(t, v)
+        if s:
+            ids = in_chunks(s, size, v)
+            assert ids == pieces.encode_whole(s, v).tolist() and pieces.decode_ids(np.array(ids), v) == t.replace("▁", " ")
 
-    def score(ids):
-        return sum(v.scores.get(v.text[i], (0.0, 0))[0] for i in ids)
 
-    for t in [*TEXTS, "thequickbrownfoxjumpsoverthelazydog" * 4, "one two  three\n\nfour"]:
-        s = pieces.normalize(t, v)
-        if not s:
-            continue
-        parts = [(s[a : a + size + v.longest - 1], min(size, len(s) - a)) for a in range(0, len(s), size)]
-        ways = pieces.borders([pieces.transfer(x, n, v) for x, n in parts])
-        ids = [i for (x, n), (e, j) in zip(parts, ways) for i in pieces.backtrace(x, n, e, j, v)]
-        assert score(ids) == score(pieces.encode_whole(s, v).tolist()) and pieces.decode_ids(np.array(ids), v) == t.replace("▁", " ")
+def tied(units: bool):
+    """A vocabulary in which many segmentations have the same score."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.normalizer_spec.add_dummy_prefix = False
+    m.normalizer_spec.remove_extra_whitespaces = False
+    for text, score, kind in [("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.0, 1), ("aa", -2.0, 1), ("ab", -2.0, 1), ("ba", -2.0, 1), ("aab", -3.0, 1), ("▁", -1.0, 1), ("▁a", -2.0, 1)] + ([] if units else [("a▁b", -3.0, 1)]):
+        p = m.pieces.add()
+        p.piece, p.score, p.type = text, score, kind
+    return pieces.parse_model(m.SerializeToString())
+
+
+@pytest.mark.parametrize("units", [True, False])
+def test_ties_fall_alike_however_a_text_is_cut(units):
+    v = tied(units)
+    assert (v.unit is not None) == units
+    rng = random.Random(3)
+    for _ in range(60):
+        s = pieces.normalize("".join(rng.choice("aab  c") for _ in range(rng.randint(1, 70))), v)
+        want = pieces.encode_whole(s, v).tolist()
+        for size in (1, 2, 5, 16):
+            assert in_chunks(s, size, v) == want, (s, size)
 
 
 def test_maxplus_is_associative():
@@ -117,9 +143,27 @@ def test_encode_rows(spark, model):
     assert len(rows) == len(texts) and all(r.decoded == (r.text or "").replace("▁", " ") for r in rows)
     v = pieces.parse_model(model)
     for r in rows:
-        assert sum(v.scores.get(v.text[i], (0.0, 0))[0] for i in r.ids) == sum(v.scores.get(v.text[i], (0.0, 0))[0] for i in pieces.encode_whole(pieces.normalize(r.text or "", v), v))
+        assert r.ids == pieces.encode_whole(pieces.normalize(r.text or "", v), v).tolist()
     assert pieces.encode(df.limit(0), model, Scratch(spark, "t")).count() == 0
-    assert all(r.round_trip for r in pieces.piece_digests(df, model, Scratch(spark, "t")).collect())
+    told = {r.doc_id: r.round_trip for r in pieces.piece_digests(df, model, Scratch(spark, "t")).collect()}
+    assert all(told[i] == ("▁" not in (t or "")) for i, t in enumerate(texts))
+
+
+# Mixing ------------------------------------------------------------------------------------------
+
+
+def test_mix_cuts_between_rows_that_are_alike(spark):
+    """Rows alike in id and text are numbered, so a source of one repeated row still comes near its target."""
+    alike = [(1, "one two", "a", "x")] * 1000 + [(i, "three four five", "b", "x") for i in range(2, 602)] + [(None, None, "c", None), (9000, "", None, "y")]
+    df = spark.createDataFrame(alike, "doc_id long, text string, source string, __size string").repartition(7)
+    out = mixing.mix_report(df, Scratch(spark, "t")).collect()
+    assert len(out) == len(alike)
+    for source, rows in {"a": [r for r in out if r.doc_id == 1], "b": [r for r in out if (r.doc_id or 0) > 1 and r.size]}.items():
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 3, source
+    again = mixing.mix_report(df.repartition(3), Scratch(spark, "t")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str)
+    assert mixing.mixed_rows(df, Scratch(spark, "t")).columns == df.columns
+    assert mixing.mix_report(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
 # Personal data -----------------------------------------------------------------------------------
