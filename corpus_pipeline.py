@@ -29,10 +29,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    groups = minhash.near_duplicates(docs, Scratch(spark, "minhash"))
-    gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text. Rows alike in both are copies as well, and one stays;
+    rows without doc_id or words stay.
+    """
+    scratch = Scratch(spark, "minhash")
+    groups = scratch.save(minhash.near_duplicate_rows(docs, scratch).where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "tkey").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"))
+    rows = docs.select(*COLUMNS).withColumn("tkey", F.xxhash64(F.col("text").cast("string")))
+    key = ["doc_id", "tkey"]
+    once = rows.join(groups.select(*key), key, "left_anti")
+    several = rows.join(groups.where("stays").select(*key), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(several).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
