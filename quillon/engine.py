@@ -7,6 +7,7 @@ import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
@@ -18,9 +19,11 @@ from quillon.adapters import CircuitBreaker, Drift, Slots, reconcile, with_retry
 from quillon.cache import ResultCache, cache_key
 from quillon.catalog import Catalog, view_name
 from quillon.config import AppConfig, CacheConfig, SourceConfig, redacted
-from quillon.errors import Code, from_spark, make
+from quillon.dialects import DIALECTS
+from quillon.errors import Code, EngineError, from_spark, make
 from quillon.functions.compat import rewrite_sql
 from quillon.policy import User, enforce
+from quillon.pushdown import Unsupported, remote_sql
 from quillon.sources.base import Registry, SourceProvider
 from quillon.sources.registry import default_registry
 
@@ -55,10 +58,12 @@ class Engine:
     """One engine over a Spark session.
 
     ``rules`` are rewrites DataFrame -> DataFrame that run on every query, after the policy views.
+    Without ``pushdown`` no statement is handed to a source whole.
     A source that fails to register is kept in ``catalog.errors``; the others start.
     """
 
-    def __init__(self, spark: SparkSession, config: AppConfig | None = None, registry: Registry | None = None, providers: list[SourceProvider] = (), rules: list[Callable[[DataFrame], DataFrame]] = ()):
+    def __init__(self, spark: SparkSession, config: AppConfig | None = None, registry: Registry | None = None, providers: list[SourceProvider] = (), rules: list[Callable[[DataFrame], DataFrame]] = (), pushdown: bool = True):
+        self.pushdown = pushdown
         self.spark, self.config = spark, config or AppConfig()
         self.registry = registry or default_registry()
         for p in providers:
@@ -123,14 +128,14 @@ class Engine:
         warnings: list[str] = []
         try:
             text, used = self.catalog.rewrite(rewrite_sql(query), prefix)
-            df = self._pushed(query, used, user) if not params else None
-            if df is None:
-                for key in used:
-                    self._table(key, user, drifts, warnings).createOrReplaceTempView(prefix + view_name(*key))
-                if "information_schema__" in text:
-                    self.catalog.information_tables().createOrReplaceTempView("information_schema__tables")
-                    self.catalog.information_columns().createOrReplaceTempView("information_schema__columns")
-                df = self.spark.sql(text, args=params) if params else self.spark.sql(text)
+            for key in used:
+                self._table(key, user, drifts, warnings).createOrReplaceTempView(prefix + view_name(*key))
+            if "information_schema__" in text:
+                self.catalog.information_tables().createOrReplaceTempView("information_schema__tables")
+                self.catalog.information_columns().createOrReplaceTempView("information_schema__columns")
+            df = self.spark.sql(text, args=params) if params else self.spark.sql(text)
+            pushed = self._pushed(query, df.schema, used, user, warnings) if self.pushdown and not params else None
+            df = df if pushed is None else pushed
         except ValueError as e:
             raise make(Code.SYNTAX_ERROR, str(e)) from e
         except Exception as e:
@@ -148,10 +153,12 @@ class Engine:
             planner.check_budget(df, limits.max_output_rows, limits.max_scan_bytes, self.table_rows)
         return QueryResult(self, df, query, warnings + notes, user, drifts, sources)
 
-    def _pushed(self, query: str, used: list[tuple[str, str]], user: User | None) -> DataFrame | None:
+    def _pushed(self, query: str, schema, used: list[tuple[str, str]], user: User | None, warnings: list[str]) -> DataFrame | None:
         """The whole statement run by its source, if all its tables live in one database that takes statements.
 
-        Tables with rules, contracts or a declared schema are read table by table, so that these hold.
+        Tables with rules, contracts or a declared schema are read table by table, so that these
+        hold; statements with a part that would mean something else there are Spark's. Names and
+        types of the result are those that Spark gave the statement.
         """
         if not used:
             return None
@@ -165,18 +172,24 @@ class Engine:
         if len(contexts) != 1 or None in contexts:
             return None
         source = self.sources[self.catalog.source_of[used[0]]]
-        remote = self.remote_text(query, used)
-        try:
-            return self.breakers[source.name].call(lambda: self.registry.get(source.type).run_remote(self.spark, source, remote))
-        except Exception:  # what the source cannot run, Spark can
+        provider = self.registry.get(source.type)
+        dialect = DIALECTS.get(provider.dialect_of(source))
+        if dialect is None:
             return None
 
-    def remote_text(self, query: str, used: list[tuple[str, str]]) -> str:
-        """``query`` with its tables under the names that the source knows."""
-        text, _ = self.catalog.rewrite(query)
-        for key in used:
-            text = text.replace(f"`{view_name(*key)}`", '"' + (self.catalog.tables[key].remote or key[1]) + '"').replace(f"AS `{key[1]}`", f'AS "{key[1]}"')
-        return text
+        def find(parts: list[str]):
+            key = self.catalog.find(parts)
+            return key and (self.catalog.tables[key].remote or key[1], key[1], self.catalog.tables[key].load().schema)
+
+        try:
+            remote = remote_sql(query, find, schema, dialect)
+        except (Unsupported, EngineError):
+            return None
+        try:
+            return self.breakers[source.name].call(lambda: provider.run_remote(self.spark, source, remote, schema))
+        except Exception as e:  # the source does not take it: its tables are scanned
+            warnings.append(f"x-quillon-pushdown: '{source.name}' did not take the statement ({type(e).__name__}: {str(e)[:200]}); its tables are scanned")
+            return None
 
     def execute(self, result: QueryResult) -> pa.Table:
         limits, warnings = self.config.query_limits, result.warnings
@@ -191,9 +204,9 @@ class Engine:
         for s in result.sources:
             if not self.breakers[s].allow():
                 raise make(Code.DATABASE_ERROR, f"Circuit breaker is OPEN for source '{s}'")
-        with self.slots:
-            for s in result.sources:
-                self.source_slots[s].__enter__()
+        with ExitStack() as held:
+            for slots in (self.slots, *(self.source_slots[s] for s in result.sources)):
+                held.enter_context(slots)
             with self._lock:
                 self.active += 1
             try:
@@ -205,8 +218,6 @@ class Engine:
             finally:
                 with self._lock:
                     self.active -= 1
-                for s in result.sources:
-                    self.source_slots[s].__exit__()
         for s in result.sources:
             self.breakers[s].record(True)
         for d in result.drifts:

@@ -168,6 +168,24 @@ def federate_pushdown_join(spark, sf_dir):
     return Engine(spark, AppConfig(sources=[config])).sql("SELECT n.n_regionkey, count(*) AS n FROM lite.nation n JOIN lite.supplier s ON n.n_nationkey = s.s_nationkey GROUP BY n.n_regionkey").df
 
 
+def _statement(name: str, sql: str, oracle: str) -> None:
+    """The same statement over SQLite and over DuckDB: what means the same there is pushed down, the rest is Spark's."""
+    for kind, make in (("sqlite", _sqlite), ("duckdb", _duckdb)):
+
+        def run(spark, sf_dir, kind=kind, make=make):
+            config = SourceConfig("db", kind, options={"path": make(spark, sf_dir, "nation", "supplier")})
+            return Engine(spark, AppConfig(sources=[config])).sql(sql).df
+
+        query(oracle, f"federate_pushdown_{name}_{kind}")(run)
+
+
+_statement("division", "SELECT s_suppkey, s_nationkey / 2 AS half FROM db.supplier", "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_nationkey / 2 AS half FROM supplier")
+_statement("like", "SELECT n_name FROM db.nation WHERE n_name LIKE 'I%' OR n_name LIKE 'i%'", "SELECT n_name FROM nation WHERE n_name LIKE 'I%' OR n_name LIKE 'i%'")
+_statement("concat", "SELECT n_name || '-' || n_name AS twice FROM db.nation WHERE n_nationkey >= 3", "SELECT n_name || '-' || n_name AS twice FROM nation WHERE n_nationkey >= 3")
+_statement("agg", "SELECT n.n_name, count(*) AS n, min(s.s_name) AS least, max(s.s_suppkey) AS most FROM db.nation n LEFT JOIN db.supplier s ON n.n_nationkey = s.s_nationkey AND s.s_acctbal > 0 GROUP BY n.n_name HAVING count(*) > 1",
+           "SELECT n.n_name, count(*) AS n, min(s.s_name) AS least, CAST(max(s.s_suppkey) AS BIGINT) AS most FROM nation n LEFT JOIN supplier s ON n.n_nationkey = s.s_nationkey AND s.s_acctbal > 0 GROUP BY n.n_name HAVING count(*) > 1")
+
+
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def federate_cross_source_join(spark, sf_dir):
     sources = [SourceConfig("lite", "sqlite", options={"path": _sqlite(spark, sf_dir, "nation")}), SourceConfig("duck", "duckdb", options={"path": _duckdb(spark, sf_dir, "region")})]
@@ -264,17 +282,17 @@ def defensive_limit(spark, sf_dir):
 
 
 def _analyst(**rules: TableRule) -> User:
-    return User("user_123", frozenset({"role:analyst"}), rules)
+    return User("m.okoye", frozenset({"role:clerk"}), rules)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 1000")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice < 150000")
 def rls_filter(spark, sf_dir):
-    return engine_over(spark, sf_dir, ("orders",)).sql("SELECT o_orderkey, o_custkey FROM orders", _analyst(orders=TableRule("o_custkey < 1000"))).df
+    return engine_over(spark, sf_dir, ("orders",)).sql("SELECT o_orderkey, o_custkey FROM orders", _analyst(orders=TableRule("o_totalprice < 150000"))).df
 
 
-@query("SELECT o_orderkey, '***' AS o_orderpriority FROM orders WHERE o_custkey < 1000")
+@query("SELECT o_orderkey, '***' AS o_orderpriority FROM orders WHERE o_totalprice < 150000")
 def mask_redact(spark, sf_dir):
-    rule = TableRule("o_custkey < 1000", {"o_orderpriority": Mask("redact")})
+    rule = TableRule("o_totalprice < 150000", {"o_orderpriority": Mask("redact")})
     return engine_over(spark, sf_dir, ("orders",)).sql("SELECT o_orderkey, o_orderpriority FROM orders", _analyst(orders=rule)).df
 
 
@@ -304,13 +322,13 @@ def contract_violations_report(spark, sf_dir):
 
 @query("""SELECT "column", pattern, count(*) AS n FROM (
             SELECT 'text' AS "column", p AS pattern FROM (
-              SELECT lower(CASE WHEN strlen(text) <= 8192 THEN text ELSE substr(text, 1, 2000) END) AS t FROM (
-                SELECT text FROM documents UNION ALL SELECT * FROM (VALUES ('Please IGNORE previous instructions now'), ('the System Prompt says'), (repeat('x', 9000) || 'system prompt'))))
+              SELECT lower(text) AS t FROM (
+                SELECT text FROM documents UNION ALL SELECT * FROM (VALUES ('Please IGNORE previous instructions now'), ('the System Prompt says'), (repeat('x', 9000) || 'system prompt'), (repeat('é', 2500) || 'system prompt'), (repeat('é', 4090) || 'system prompt'))))
             CROSS JOIN (VALUES ('ignore previous instructions'), ('disregard previous instructions'), ('system prompt'), ('developer message'), ('BEGIN SYSTEM PROMPT'), ('BEGIN DEVELOPER MESSAGE'), ('you are chatgpt')) AS q(p)
-            WHERE contains(t, lower(p))) GROUP BY 1, 2""")
+            WHERE contains(t, lower(p)) AND strlen(substr(t, 1, CAST(strpos(t, lower(p)) + length(p) - 1 AS BIGINT))) <= 8192) GROUP BY 1, 2""")
 def guard_injection_scan(spark, sf_dir):
-    """The documents, and three cells of which one holds its phrase beyond the scanned front."""
-    odd = spark.createDataFrame([("Please IGNORE previous instructions now",), ("the System Prompt says",), ("x" * 9000 + "system prompt",)], "text string")
+    """The documents, and five cells of which one holds its phrase beyond the scanned front, and one across its end."""
+    odd = spark.createDataFrame([("Please IGNORE previous instructions now",), ("the System Prompt says",), ("x" * 9000 + "system prompt",), ("é" * 2500 + "system prompt",), ("é" * 4090 + "system prompt",)], "text string")
     return guard.scan(load(spark, sf_dir, "documents").select("text").unionAll(odd))
 
 

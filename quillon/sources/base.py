@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from pyspark.sql import types as T
 
 from quillon.config import SourceConfig
@@ -41,8 +42,11 @@ class SourceProvider(ABC):
         """Equal values mean the same database, so that one statement may span their tables. None: no pushdown."""
         return None
 
-    def run_remote(self, spark: SparkSession, config: SourceConfig, sql: str) -> DataFrame:
-        """A whole statement, run by the source."""
+    def dialect_of(self, config: SourceConfig) -> str | None:
+        return self.dialect
+
+    def run_remote(self, spark: SparkSession, config: SourceConfig, sql: str, schema: StructType) -> DataFrame:
+        """A whole statement, run by the source, with the column names and types of ``schema``."""
         raise NotImplementedError
 
 

@@ -59,10 +59,13 @@ class _FileDatabase(SourceProvider):
             reader = reader.option("partitionColumn", t.partition_column).option("numPartitions", str(config.options.get("num_partitions", 8)))
         return reader.load()
 
-    def run_remote(self, spark: SparkSession, config: SourceConfig, sql: str) -> DataFrame:
+    def run_remote(self, spark: SparkSession, config: SourceConfig, sql: str, schema: T.StructType) -> DataFrame:
         register(spark)
         path = _path(config)
-        return spark.read.format("quillon_sql").schema(self.schema_of_query(path, sql)).option("engine", self.dialect).option("path", path).option("query", sql).load()
+        names = self.schema_of_query(path, sql).names  # the database refuses here what it cannot run
+        if names != schema.names:
+            raise make(Code.DATABASE_ERROR, f"source '{config.name}' answers with {names}")
+        return spark.read.format("quillon_sql").schema(schema).option("engine", self.dialect).option("path", path).option("query", sql).load()
 
 
 class SqliteProvider(_FileDatabase):
@@ -156,8 +159,9 @@ class JdbcProvider(SourceProvider):
     def scan(self, spark: SparkSession, config: SourceConfig, t: TableConfig) -> DataFrame:
         return self._reader(spark, config).options(**self.scan_options(config, t)).load()
 
-    def run_remote(self, spark: SparkSession, config: SourceConfig, sql: str) -> DataFrame:
-        return self._reader(spark, config).option("query", sql).load()
+    def run_remote(self, spark: SparkSession, config: SourceConfig, sql: str, schema: T.StructType) -> DataFrame:
+        answer = self._reader(spark, config).option("query", sql).load()
+        return answer.select(*[answer[n].cast(f.dataType).alias(f.name) for n, f in zip(answer.columns, schema.fields, strict=True)])
 
 
 class SqlProvider(SourceProvider):
@@ -180,8 +184,11 @@ class SqlProvider(SourceProvider):
     def context(self, config):
         return self.of(config).context(config)
 
-    def run_remote(self, spark, config, sql):
-        return self.of(config).run_remote(spark, config, sql)
+    def dialect_of(self, config):
+        return self.of(config).dialect
+
+    def run_remote(self, spark, config, sql, schema):
+        return self.of(config).run_remote(spark, config, sql, schema)
 
 
 class FlightProvider(SourceProvider):

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import itertools
 import json
 import urllib.parse
 import urllib.request
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,18 +70,21 @@ class _Range(InputPartition):
 
 
 def coerce(value, kind: T.DataType):
-    """A fetched value as the declared type: integers widen, numbers become text, what does not fit is None."""
+    """A fetched value as the declared type: integers widen, numbers become text, what does not fit is None.
+
+    A fraction is no integer, and only true, false, 1 and 0, also as text, are booleans.
+    """
     if value is None:
         return None
     try:
         if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-            return int(value)
+            return int(value) if isinstance(value, str) or value == int(value) else None
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             return float(value)
         if isinstance(kind, T.StringType):
             return value if isinstance(value, str) else json.dumps(value) if isinstance(value, (dict, list)) else str(value)
         if isinstance(kind, T.BooleanType):
-            return bool(value)
+            return {"true": True, "1": True, "t": True, "false": False, "0": False, "f": False}.get(str(value).strip().lower())
         if isinstance(kind, T.DecimalType):
             return decimal.Decimal(str(value))
         if isinstance(kind, T.DateType) and isinstance(value, str):
@@ -131,11 +136,26 @@ class SqlReader(DataSourceReader):
         kinds, schema = [f.dataType for f in self.schema.fields], to_arrow_schema(self.schema)
         with _connect(self.o) as db:
             cursor = db.execute(self.statement(partition))
+            if self.o["engine"] == "duckdb":
+                for batch in cursor.to_arrow_reader(16 * BATCH):
+                    yield arrow_rows(batch, kinds, schema)
+                return
             while rows := cursor.fetchmany(BATCH):
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([coerce(v, k) for v in c], f.type) for c, k, f in zip(columns, kinds, schema, strict=False)], schema=schema)
 
 
+def arrow_rows(batch: pa.RecordBatch, kinds: list[T.DataType], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch in the declared types; a column that Arrow cannot cast goes value by value."""
+    columns = []
+    for column, kind, f in zip(batch.columns, kinds, schema, strict=True):
+        try:
+            columns.append(column.cast(f.type))
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+            columns.append(pa.array([coerce(v, kind) for v in column.to_pylist()], f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 class _connect:
     def __init__(self, options: dict):
         self.o = options
@@ -214,14 +234,21 @@ def rest_headers(o: dict) -> dict[str, str]:
 
 
 def rest_pages(o: dict, params: dict[str, str] | None = None) -> Iterator[list[dict]]:
-    """Record lists of each page. Pagination: header, body url, token, or indices; none is one page."""
+    """Record lists of each page. Pagination: header, body url, token, or indices; none is one page.
+
+    Pages are read to the last one, unless ``max_pages`` is set: where it cuts pages off, a warning
+    says so. Next pages on another origin are asked without the configured headers, which hold credentials.
+    """
     paging, headers = o.get("pagination") or {}, rest_headers(o)
-    kind, most = paging.get("type"), int(o.get("max_pages", 1_000_000))
+    kind, most = paging.get("type"), int(o["max_pages"]) if o.get("max_pages") else None
     offset, extra, url = int(paging.get("initial_offset", 0)), dict(params or {}), o["base_url"] + (o.get("path") or "")
-    for _ in range(most):
+    home = origin(o["base_url"])
+    for page in itertools.count(1):
         query = dict(extra)
         if kind == "indices":
             query |= {paging["param_offset"]: str(offset), paging["param_limit"]: str(paging["limit"])}
+        if origin(url) != home:
+            headers = {}
         at = url + (("&" if "?" in url else "?") + urllib.parse.urlencode(query) if query else "")
         body = json.dumps(o["body"]).encode() if o.get("body") is not None else None
         request = urllib.request.Request(at, body, headers, method=o.get("method", "GET"))
@@ -252,6 +279,15 @@ def rest_pages(o: dict, params: dict[str, str] | None = None) -> Iterator[list[d
             return
         if not url or not str(url).startswith("http"):
             return
+        if page == most:
+            warnings.warn(f"{o['base_url']}: cut off after max_pages = {most} pages", stacklevel=2)
+            return
+
+
+def origin(url: str) -> tuple:
+    """Scheme, host and port of a URL."""
+    u = urllib.parse.urlsplit(url)
+    return u.scheme, u.hostname, u.port or {"http": 80, "https": 443}.get(u.scheme)
 
 
 class RestDataSource(DataSource):

@@ -25,15 +25,25 @@ def format_of(config: SourceConfig, path: str) -> str:
     return kind
 
 
-def fetched(path: str) -> str:
-    """http(s) and ftp files are fetched once by the driver; every other scheme is Spark's own business."""
+def fetched(path: str, spark: SparkSession | None = None) -> str:
+    """http(s) and ftp files are fetched once by the driver; every other scheme is Spark's own business.
+
+    Where the session names a shared folder (spark.checkpoint.dir) the file is moved there, so that
+    executors can read it.
+    """
     if not path.startswith(("http://", "https://", "ftp://")):
         return path
     local = os.path.join(tempfile.mkdtemp(prefix="quillon-fetch-"), os.path.basename(path.split("?")[0]) or "file")
     with urllib.request.urlopen(path, timeout=60) as r, open(local, "wb") as f:
         while chunk := r.read(1 << 20):
             f.write(chunk)
-    return local
+    shared = spark.conf.get("spark.checkpoint.dir", None) if spark is not None else None
+    if not shared:
+        return local
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    to = jpath(f"{shared.rstrip('/')}/quillon-fetch-{os.urandom(6).hex()}/{os.path.basename(local)}")
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, jpath(local), to)
+    return to.toString()
 
 
 def object_store_options(config: SourceConfig) -> dict[str, str]:
@@ -67,7 +77,7 @@ def read_file(spark: SparkSession, config: SourceConfig, path: str, table: Table
         reader = reader.option("header", header).option("sep", o.get("delimiter", ",")).option("enforceSchema", not header or schema is None)
         if schema is None:
             reader = reader.option("inferSchema", True)
-    return getattr(reader, kind)(spark_path(fetched(path)))
+    return getattr(reader, kind)(spark_path(fetched(path, spark)))
 
 
 def footer_rows(path: str) -> int | None:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.adapters import Slots
 from quillon.config import AppConfig, CacheConfig, ColumnConfig, Constraint, Contract, ContractColumn, QueryLimits, SourceConfig, TableConfig
 from quillon.connection import Connection, connect
 from quillon.engine import Engine, engine_over
@@ -244,3 +245,62 @@ def test_plug_ins(spark):
     e = Engine(spark, AppConfig(sources=[SourceConfig("n", "numbers", options={"n": 7})]), providers=[Numbers()], rules=[lambda df: df.withColumn("seen", F.lit(True))])
     assert e.sql("SELECT * FROM n").to_arrow().to_pylist()[0] == {"id": 0, "seen": True}
     assert code_of(e.registry.get, "parqet") is Code.UNSUPPORTED_SOURCE_TYPE
+
+
+@pytest.fixture
+def two_engines(spark, tmp_path):
+    """(pushed, scanned) over one database of each kind, with rows on which databases differ."""
+    import sqlite3
+
+    import duckdb
+
+    rows = [(1, 2, "abc", 1.5), (2, 5, "Abd", None), (3, 7, None, -0.5), (4, None, "b%c", 2.0)]
+    lite, duck = str(tmp_path / "x.db"), str(tmp_path / "x.duckdb")
+    with sqlite3.connect(lite) as db:
+        db.execute("CREATE TABLE t (a INTEGER, b INTEGER, s TEXT, f REAL)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    with duckdb.connect(duck) as db:
+        db.execute("CREATE TABLE t (a BIGINT, b BIGINT, s VARCHAR, f DOUBLE)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    return {k: tuple(Engine(spark, AppConfig(sources=[SourceConfig("d", k, options={"path": p})]), pushdown=on) for on in (True, False)) for k, p in (("sqlite", lite), ("duckdb", duck))}
+
+
+PUSHED = [
+    "SELECT a, s FROM d.t WHERE b > 2 AND NOT s = 'abc'",
+    "SELECT t.f - 2 AS x, u.s FROM d.t JOIN d.t u ON t.a = u.b",
+    "SELECT s, count(*) AS n, sum(f) AS f, min(s) AS m FROM d.t WHERE s IS NOT NULL GROUP BY s HAVING count(*) >= 1",
+    "SELECT count(DISTINCT s) AS n, max(b) FROM d.t",
+    "SELECT f * 2 AS g, s || 'x' AS y FROM d.t WHERE s < 'b' OR f IS NULL",
+    "SELECT * FROM d.t WHERE a <> 3",
+    "SELECT sum(b) AS n FROM d.t WHERE a > 100",
+]
+KEPT = ["SELECT a, b / a AS q FROM d.t", "SELECT a % 2 AS m FROM d.t", "SELECT a FROM d.t ORDER BY s", "SELECT upper(s) AS u FROM d.t", "SELECT a + b AS c FROM d.t", "SELECT DISTINCT b FROM d.t", "SELECT a FROM d.t WHERE b IN (SELECT b FROM d.t)", "SELECT avg(b) AS m FROM d.t", "SELECT CASE WHEN a > 1 THEN 1 ELSE 0 END AS c FROM d.t"]
+
+
+@pytest.mark.parametrize("kind", ["sqlite", "duckdb"])
+def test_pushed_statements_mean_the_same(two_engines, kind):
+    pushed, scanned = two_engines[kind]
+    for sql, whole in [(q, True) for q in PUSHED] + [(q, False) for q in KEPT] + [("SELECT a FROM d.t WHERE s LIKE 'a%'", kind == "duckdb")]:
+        one, two = pushed.sql(sql), scanned.sql(sql)
+        plan = one.df._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("RelationV2") == 1 and not any(w in plan for w in ("Filter", "Aggregate", "Join", "Project"))) == whole, (sql, plan)
+        assert one.df.dtypes == two.df.dtypes and not one.warnings, sql
+        assert sorted(map(tuple, one.df.collect()), key=str) == sorted(map(tuple, two.df.collect()), key=str), sql
+
+
+def test_a_refused_statement_is_scanned_with_a_warning(two_engines, monkeypatch):
+    from quillon.sources.databases import SqliteProvider
+
+    monkeypatch.setattr(SqliteProvider, "schema_of_query", lambda *_: (_ for _ in ()).throw(RuntimeError("no such function")))
+    out = two_engines["sqlite"][0].sql("SELECT a FROM d.t WHERE a = 1")
+    assert [tuple(r) for r in out.df.collect()] == [(1,)] and "scanned" in out.warnings[0]
+
+
+def test_slots_are_given_back_when_one_is_not_free(spark, sf):
+    e = engine_over(spark, sf, ("nation", "region"))
+    e.source_slots["nation"], e.source_slots["region"] = Slots(1, 0.1), Slots(1, 0.1)
+    query = "SELECT count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey"
+    with e.source_slots["region"]:
+        with pytest.raises(EngineError):
+            e.sql(query).to_arrow()
+    assert e.sql(query).to_arrow()["n"].to_pylist() == [25]

@@ -392,3 +392,51 @@ def test_streaming(spark, sf, tmp_path):
     sink = streaming.to_parquet(streaming.deduplicated(streaming.read_events(spark, str(tmp_path / "in"), events.schema), "ts", ["event_id"]), str(tmp_path / "out"), str(tmp_path / "cp"))
     sink.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("event_id").distinct().count()
+
+
+def test_coerce_keeps_what_it_cannot_say_out():
+    from pyspark.sql import types as T
+
+    from quillon.sources.datasource import coerce
+
+    assert [coerce(v, T.BooleanType()) for v in ("false", "True", 0, 1, "x", False, 2)] == [False, True, False, True, None, False, None]
+    assert [coerce(v, T.LongType()) for v in (2.0, 2.7, "3", "3.5", float("nan"), True)] == [2, None, 3, None, None, 1]
+
+
+def test_rest_page_cap_warns_and_credentials_stay_home(monkeypatch):
+    import io
+    import json
+
+    from quillon.sources import datasource
+
+    seen = []
+
+    class Answer(io.BytesIO):
+        headers: dict = {}
+
+    def answer(request, timeout):
+        seen.append((request.full_url, dict(request.headers)))
+        return Answer(json.dumps({"data": [{"a": 1}], "next": f"http://other.test/{len(seen)}" if len(seen) < 3 else None}).encode())
+
+    monkeypatch.setattr(datasource.urllib.request, "urlopen", answer)
+    o = {"base_url": "http://home.test/x", "pagination": {"type": "bodyurl", "path": "next"}, "auth": {"type": "bearer", "token": "t"}, "data_path": "data"}
+    assert len(list(datasource.rest_pages(o))) == 3
+    assert ["Authorization" in h for _, h in seen] == [True, False, False]
+    seen.clear()
+    with pytest.warns(UserWarning, match="max_pages"):
+        assert len(list(datasource.rest_pages(o | {"max_pages": 2}))) == 2
+
+
+def test_compat_keeps_columns_of_clashing_names(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quillon.functions import compat
+
+    df = spark.createDataFrame([(1, 7, 8, 9), (1, 6, 5, 4)], "k int, __rn int, __qualify int, __group int")
+    assert [tuple(r) for r in compat.distinct_on(df, ["k"], [F.col("__rn")]).collect()] == [(1, 6, 5, 4)]
+    assert compat.qualify(df, F.row_number().over(Window.partitionBy("k").orderBy("__rn")) == 1).columns == df.columns
+    assert [tuple(r) for r in compat.groups_frame(df, ["k"], ["__rn"], 1, 0, F.sum("__group"), "s").orderBy("s").collect()] == [(1, 6, 5, 4, 4), (1, 7, 8, 9, 13)]
+    edges = {1: 2, 2: 3, 3: 1}
+    step = lambda d: d.select((F.col("n") % 3 + 1).alias("n"))
+    assert sorted(r.n for r in compat.recursive_distinct(spark.createDataFrame([(1,)], "n int"), step).collect()) == sorted(edges)
