@@ -244,19 +244,37 @@ def models(seed: int = 11, rows: int = 3000) -> dict[str, Boosted]:
 # Spans --------------------------------------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it, also within its lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+#: Matches whose lengths are added up as one block.
+_SUM_BLOCK = 64
+
+
+def _sums_before(lengths: Column) -> Column:
+    """For each number of an array, the sum of those before it: within its block, and of the blocks before that."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _SUM_BLOCK).cast("int")), lambda b: _total(F.slice(lengths, b * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK))))
+    heads = lambda sums: F.transform(sums, lambda _, b: _total(F.slice(sums, F.lit(1), b)))
+    return _let(_let(blocks, heads), lambda head: F.transform(lengths, lambda _, i: F.element_at(head, F.floor(i / _SUM_BLOCK).cast("int") + 1) + _total(F.slice(lengths, F.floor(i / _SUM_BLOCK).cast("int") * _SUM_BLOCK + 1, i % _SUM_BLOCK))))
+
+
 def _matches(text: Column, pattern: str, needs: str) -> Column:
     """Array of (m, before, after, s, e): matches with their offsets in code points.
 
-    The pieces between matches and the matches alternate, so offsets are running sums of lengths.
+    The pieces between matches and the matches alternate, so offsets are running sums of lengths,
+    which are taken block by block: no array is copied for each match.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    cells = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), F.right(p, F.lit(BEFORE)).alias("before"), F.length(p).alias("gap")))
+    cells = _let(F.struct(found.alias("f"), between.alias("b")), lambda x: F.zip_with(x["f"], F.slice(x["b"], F.lit(1), F.size(x["f"])), lambda m, p: F.struct(m.alias("m"), F.right(p, F.lit(BEFORE)).alias("before"), F.length(p).alias("gap"), F.length(m).alias("n"))))
+    placed = lambda cs, starts: F.zip_with(cs, starts, lambda c, at: F.struct(c["m"].alias("m"), c["before"].alias("before"), (at + c["gap"]).alias("s"), (at + c["gap"] + c["n"]).alias("e")))
     nothing = F.array().cast("array<struct<m:string,before:string,s:int,e:int>>")
-    step = lambda acc, c: F.struct(
-        (acc["at"] + c["gap"] + F.length(c["m"])).alias("at"),
-        F.array_append(acc["out"], F.struct(c["m"].alias("m"), c["before"].alias("before"), (acc["at"] + c["gap"]).alias("s"), (acc["at"] + c["gap"] + F.length(c["m"])).alias("e"))).alias("out"),
-    )
-    spans = F.aggregate(cells, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
+    spans = _let(cells, lambda cs: F.when(F.size(cs) == 0, nothing).otherwise(_let(F.transform(cs, lambda c: c["gap"] + c["n"]), lambda lengths: placed(cs, _sums_before(lengths)))))
     return F.when(text.rlike(needs), spans).otherwise(nothing)
 
 
@@ -290,6 +308,18 @@ def _spans(cells: Column, rank: int) -> Column:
     return F.transform(cells, lambda c: F.struct(c["s"].alias("s"), F.lit(rank).alias("k"), c["e"].alias("e")))
 
 
+#: Spans that are passed over together where nothing of them is near.
+_SPAN_BLOCK = 256
+
+
+def _blocks(spans: Column) -> Column:
+    """Sorted spans in blocks with the stretch that each covers, so that a look for overlaps need not go through all."""
+    part = lambda b: F.slice(spans, b * _SPAN_BLOCK + 1, F.lit(_SPAN_BLOCK))
+    whole = lambda p: F.struct(F.element_at(p, 1)["s"].alias("s"), F.array_max(F.transform(p, lambda x: x["e"])).alias("e"), p.alias("spans"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _SPAN_BLOCK).cast("int")), lambda b: _let(part(b), whole))
+    return F.when(F.size(spans) > 0, blocks).otherwise(F.array().cast("array<struct<s:int,e:int,spans:array<struct<s:int,k:int,e:int>>>>"))
+
+
 def find_spans(docs: DataFrame, text_col: str = "text", seed: int = 11) -> DataFrame:
     """``docs`` plus ``base`` and ``spans``: arrays of (s, k, e), k numbering email, ip, card, phone.
 
@@ -304,12 +334,14 @@ def find_spans(docs: DataFrame, text_col: str = "text", seed: int = 11) -> DataF
     for i, kind in enumerate(KINDS):
         rows = rows.withColumn(f"__b{i}", _spans(F.filter(_matches(t, BASE[kind], NEEDS[kind]), _checks(kind)), i))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[F.col(f"__b{i}") for i in range(len(KINDS))])))
+    rows = rows.withColumn("__near", _blocks(F.col("base")))
     trees = models(seed)
+    meets = lambda c: lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])
     for i, kind in enumerate(KINDS):
-        clear = lambda c: ~F.exists(F.col("base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+        clear = lambda c: ~F.exists(F.col("__near"), lambda x: meets(c)(x) & F.exists(x["spans"], meets(c)))
         fresh = F.filter(F.filter(_matches(t, PROPOSE[kind], PROPOSE_NEEDS[kind]), clear), _chosen(kind, trees[kind]))
         rows = rows.withColumn(f"__p{i}", _spans(fresh, i))
-    rows = rows.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", *[F.col(f"__p{i}") for i in range(len(KINDS))]))))
+    rows = rows.withColumn("spans", F.array_sort(F.concat("base", *[F.col(f"__p{i}") for i in range(len(KINDS))])))
     return rows.select(*[named(c) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
 
 

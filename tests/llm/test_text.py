@@ -275,3 +275,15 @@ def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     chain = toxicity.train(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"), {"toxic": "toxic = 1"})
     assert not toxicity.score(d, chain, "toxic").first().rejected and toxicity.score(d.limit(0), chain, "toxic").count() == 0
+
+
+def test_pii_offsets_of_many_matches(spark):
+    """Offsets are right beyond one block of sums, and a text of very many matches does not take long."""
+    import time
+
+    text = " ".join(f"user{i}@host{i % 7}.example.org é" for i in range(1000))
+    out = pii.find_spans(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, base string")).collect()[0]
+    assert [(s.s, s.e) for s in out.base if s.k == 0] == [m.span() for m in re.finditer(PLAIN["email"], text)]
+    began = time.time()
+    many = spark.createDataFrame([(1, "a@b.cd " * 100_000)], "doc_id long, text string")
+    assert pii.span_digests(many).collect()[0].n_email == 100_000 and time.time() - began < 60
