@@ -7,6 +7,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,13 +51,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut lineage; they live in the shared folder, so a lost executor loses nothing."""
+    """Written tables that cut lineage; they live in the shared folder, so a lost executor loses nothing.
+
+    A result may read them until it is written, so they stay until ``free`` or ``free_since``.
+    """
+
+    #: Folders of this process, in the order they were made.
+    made: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, label: str):
         bounded_batches(spark)
         self.spark = spark
         self.base = f"{scratch_root(spark).rstrip('/')}/quillon/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        Scratch.made.append(self.base)
+
+    @staticmethod
+    def free_since(spark: SparkSession, mark: int) -> None:
+        """Deletes the folders made after the first ``mark``, once nothing reads them any more."""
+        gone, Scratch.made[mark:] = Scratch.made[mark:], []
+        for base in gone:
+            _delete(spark, base)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -73,8 +88,12 @@ class Scratch:
     def free(self, df: DataFrame) -> None:
         path = getattr(df, "_quillon_path", None)
         if path:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _trimmer():
