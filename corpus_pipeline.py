@@ -67,8 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again as the next one's docs."""
+    """The stages over documents, each written as Parquet and read again as the next one's docs.
+
+    What a stage wrote for itself is deleted once its result is written, and so is the stage's input.
+    """
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        mark, before = len(Scratch.made), docs
+        docs = scratch.save(stage(spark, before, sf_dir))
+        Scratch.free_since(spark, mark)
+        scratch.free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
