@@ -285,14 +285,14 @@ def _analyst(**rules: TableRule) -> User:
     return User("m.okoye", frozenset({"role:clerk"}), rules)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice < 150000")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 800")
 def rls_filter(spark, sf_dir):
-    return engine_over(spark, sf_dir, ("orders",)).sql("SELECT o_orderkey, o_custkey FROM orders", _analyst(orders=TableRule("o_totalprice < 150000"))).df
+    return engine_over(spark, sf_dir, ("orders",)).sql("SELECT o_orderkey, o_custkey FROM orders", _analyst(orders=TableRule("o_custkey < 800"))).df
 
 
-@query("SELECT o_orderkey, '***' AS o_orderpriority FROM orders WHERE o_totalprice < 150000")
+@query("SELECT o_orderkey, '***' AS o_orderpriority FROM orders WHERE o_custkey < 800")
 def mask_redact(spark, sf_dir):
-    rule = TableRule("o_totalprice < 150000", {"o_orderpriority": Mask("redact")})
+    rule = TableRule("o_custkey < 800", {"o_orderpriority": Mask("redact")})
     return engine_over(spark, sf_dir, ("orders",)).sql("SELECT o_orderkey, o_orderpriority FROM orders", _analyst(orders=rule)).df
 
 

@@ -22,7 +22,7 @@ def test_aggregates_are_partial(spark, sf):
 
 def test_policy_filter_reaches_the_scan(spark, sf):
     text = plan(QUERIES["rls_filter"](spark, sf))
-    assert "LessThan(o_custkey,1000)" in text and "o_totalprice" not in text
+    assert "LessThan(o_custkey,800)" in text and "o_totalprice" not in text
 
 
 def test_topk_does_not_sort_everything(spark, sf):
