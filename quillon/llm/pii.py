@@ -6,6 +6,7 @@ by a seeded generator, and reach the plan as CASE expressions.
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,14 +30,36 @@ BASE = {
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
-#: High-recall generators: they also propose written-out, broken-up and unmarked forms.
+#: Where a proposal may start. A place where a base email starts needs none.
+START = {
+    "email": r"(?<![A-Za-z0-9._%+-])(?![A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-])",
+    "ip": r"(?<![0-9])",
+    "card": r"(?<![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])",
+}
+#: High-recall generators, the widest of each kind first: every place where that one matches is a start, and
+#: all generators propose a span from it, so proposals overlap. They take written-out, broken-up and unmarked
+#: forms, and where numbers run together there is a proposal for each cut at a group of digits.
 PROPOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}+){1,5}",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}+){3}(?![0-9.])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ .\-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])[+(]{0,2}[0-9](?:[ ().\-]{0,3}[0-9]){6,14}(?![0-9A-Za-z])",
+    "email": [
+        r"[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}+){1,5}",
+        r"[A-Za-z0-9._%+-]{1,64}+ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63}+){1,5}",
+    ],
+    "ip": [r"[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}+){3}(?![0-9])"],
+    "card": [
+        r"[0-9](?:[ .\-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])",
+        r"[0-9]{4}(?:[ .\-]{0,2}[0-9]{4}){3}(?![0-9A-Za-z])",
+        r"[0-9]{4}[ .\-]{0,2}[0-9]{6}[ .\-]{0,2}[0-9]{5}(?![0-9A-Za-z])",
+    ],
+    "phone": [
+        r"[+(]{0,2}[0-9](?:[ ().\-]{0,3}[0-9]){6,14}(?![0-9A-Za-z])",
+        r"[(]?[0-9]{3}[)]?[ .\-]{0,2}[0-9]{3}[ .\-]{0,2}[0-9]{4}(?![0-9A-Za-z])",
+        r"\+[0-9]{1,3}[ .\-]{0,2}[(]?[0-9]{2,4}[)]?[ .\-]{0,2}[0-9]{3,4}[ .\-]{0,2}[0-9]{3,4}(?![0-9A-Za-z])",
+    ],
 }
 PROPOSE_NEEDS = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9](?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]", "card": r"[0-9](?:[ .\-]{0,2}[0-9]){6}", "phone": r"[0-9](?:[ ().\-]{0,3}[0-9]){6}"}
+#: Characters from a start that hold every proposal and what stands after it.
+WINDOW = {"email": 512, "ip": 72, "card": 72, "phone": 72}
 
 #: Words before a span that speak for its kind.
 CONTEXT = {
@@ -46,7 +69,9 @@ CONTEXT = {
     "phone": r"(?i)(phone|tel|call|mobile|fax|dial|ring|whatsapp|sms|anruf|ligne)",
 }
 BEFORE, AFTER = 24, 8
-FEATURES = ("length", "digits", "groups", "separators", "longest", "luhn", "plus", "paren", "spelled", "context", "octets", "money", "first")
+#: A number that goes on before or after a span.
+MORE_BEFORE, MORE_AFTER = r"[0-9][ ().-]{0,3}$", r"^[ ().-]{0,3}[0-9]"
+FEATURES = ("length", "digits", "groups", "separators", "longest", "luhn", "plus", "paren", "spelled", "context", "octets", "money", "first", "head", "last", "more_before", "more_after", "balance", "blanks", "tail", "loose")
 
 
 def _text_features(span: str, before: str, after: str, kind: str) -> list[float]:
@@ -58,6 +83,9 @@ def _text_features(span: str, before: str, after: str, kind: str) -> list[float]
         float(span.startswith("+") or before.endswith("+")), float("(" in span), float(bool(re.search(r"[\[(](?:at|dot|\.)[\])]", span))),
         float(bool(re.search(CONTEXT[kind], before))), float(len(runs) >= 4 and all(len(r) <= 3 and int(r) <= 255 for r in runs[:4])),
         float(bool(re.search(r"[$€£=#]\s?$", before))), float(digits[:1] or 0),
+        len(runs[0]) if runs else 0, len(runs[-1]) if runs else 0,
+        float(bool(re.search(MORE_BEFORE, before))), float(bool(re.search(MORE_AFTER, after))), span.count("(") - span.count(")"),
+        span.count(" "), len(re.search(r"[A-Za-z]*\Z", span)[0]), float(". " in span),
     ]
 
 
@@ -97,6 +125,14 @@ def features(c: Column, kind: str) -> dict[str, Column]:
         "octets": flag((F.size(runs) >= 4) & F.forall(F.slice(runs, 1, 4), lambda r: (F.length(r) <= 3) & (F.coalesce(r.try_cast("int"), F.lit(999)) <= 255))),
         "money": flag(before.rlike(r"[$€£=#]\s?$")),
         "first": F.coalesce(F.substring(digits, 1, 1).try_cast("double"), F.lit(0.0)),
+        "head": F.coalesce(F.length(F.get(runs, F.lit(0))), F.lit(0)).cast("double"),
+        "last": F.coalesce(F.length(F.get(runs, F.size(runs) - 1)), F.lit(0)).cast("double"),
+        "more_before": flag(before.rlike(MORE_BEFORE)),
+        "more_after": flag(c["after"].rlike(MORE_AFTER)),
+        "balance": _count(span, "[^(]") - _count(span, "[^)]"),
+        "blanks": _count(span, "[^ ]"),
+        "tail": F.length(F.regexp_extract(span, r"[A-Za-z]*\z", 0)).cast("double"),
+        "loose": flag(F.contains(span, F.lit(". "))),
     }
 
 
@@ -104,12 +140,12 @@ def features(c: Column, kind: str) -> dict[str, Column]:
 
 
 def _digits(rng, n: int) -> str:
-    return "".join(map(str, rng.integers(0, 10, n)))
+    return "".join(rng.choice("0123456789") for _ in range(n))
 
 
 def _card(rng, n: int = 16, valid: bool = True) -> str:
     while True:
-        d = str(rng.integers(2, 7)) + _digits(rng, n - 1)
+        d = str(rng.randrange(2, 7)) + _digits(rng, n - 1)
         if luhn(d) == valid:
             return d
 
@@ -123,47 +159,89 @@ def _grouped(d: str, sizes, sep: str) -> str:
 
 
 def _word(rng) -> str:
-    return "".join(rng.choice(list("abcdefghiklmnoprstuvw"), rng.integers(2, 8)))
+    return "".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randrange(2, 8)))
 
 
-def _examples(kind: str, seed: int, n: int):
-    """Labelled candidates (span, before, after, is personal data) of one kind, from a seeded generator."""
-    rng = np.random.default_rng(seed)
+def _date(rng) -> str:
+    y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(1, 29)
+    return rng.choice([f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y}", f"{m}-{d}-{y}"])
+
+
+def _personal(kind: str, rng, hinted: bool) -> tuple[str, bool]:
+    """A span, and whether it speaks for itself or by its context."""
+    if kind == "card":
+        d = _card(rng, rng.choice([13, 15, 16, 16, 16, 19]))
+        span = _grouped(d, [4, 6] if len(d) == 15 else [4, 4, 4], rng.choice(["", " ", "-", ".", "  "]))
+        return span, hinted or "." not in span
+    if kind == "phone":
+        d = _digits(rng, 10)
+        span = rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}", f"+{rng.randrange(1, 99)} {d[:3]} {d[3:6]} {d[6:]}"])
+        return span, hinted or span[0] in "(+"
+    if kind == "ip":
+        return rng.choice([".", "[.]", "(.)", "[dot]"]).join(str(rng.randrange(256)) for _ in range(4)), True
+    at, dot = (" @ ", ".") if rng.random() < 0.2 else (rng.choice([" [at] ", " (at) ", "[at]", "(at)"]), rng.choice([".", " [dot] ", "[dot]", " (dot) "]))
+    return f"{_word(rng)}{at}{_word(rng)}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'io'])}", True
+
+
+def _harmless(kind: str, rng) -> str:
+    """A span of like form that is no personal data."""
+    if kind == "card":
+        d = _digits(rng, rng.randrange(13, 20)) if rng.random() < 0.3 else _card(rng, rng.choice([13, 15, 16, 19]), rng.random() < 0.08)
+        return _grouped(d, [4, 4, 4], rng.choice(["", " ", "-", ".", "  "]))
+    if kind == "phone":
+        return rng.choice([_digits(rng, rng.randrange(7, 16)), _date(rng), f"{_date(rng)} {rng.randrange(24)}.{_digits(rng, 2)}", " ".join(_digits(rng, rng.randrange(1, 5)) for _ in range(5)), f"{_digits(rng, 3)}.{_digits(rng, 2)}.{_digits(rng, 3)}.{_digits(rng, 2)}", f"{_digits(rng, 4)} {_digits(rng, 4)} {_digits(rng, 4)}"])
+    if kind == "ip":
+        octets = [str(rng.randrange(256)) for _ in range(4)]
+        octets[rng.randrange(4)] = str(rng.randrange(256, 999))
+        return rng.choice([".", "[.]", "(.)", "[dot]"]).join(octets)
+    at = rng.choice([" [at] ", " (at) ", "[at]", "(at)", " @ "])
+    return f"{_word(rng)}{at}{_digits(rng, rng.randrange(1, 3))}.{_digits(rng, 1)}"
+
+
+def _made_text(kind: str, rng) -> tuple[str, set[tuple[int, int]]]:
+    """A text with one or two spans of a kind or with harmless ones, numbers close by, and the places of what is personal data."""
     says = {"email": ["mail ", "contact ", "write to "], "ip": ["ip ", "server ", "host "], "card": ["card ", "visa ", "pay with "], "phone": ["tel ", "call ", "phone: "]}[kind]
     plain = ["the ", "and ", "of ", "no ", "id ", "ref ", "total ", "= ", "# ", "$ "]
-    for i in range(n):
-        good = bool(i % 2)
-        hinted = rng.random() < (0.6 if good else 0.15)
-        before = f"{_word(rng)} {_word(rng)} " + str(rng.choice(says if hinted else plain))
-        after = f" {_word(rng)}"
-        if kind == "card":
-            size = int(rng.choice([13, 15, 16, 16, 16, 19]))
-            d = _card(rng, size, good or rng.random() < 0.08)
-            if not good and rng.random() < 0.3:
-                d = _digits(rng, int(rng.integers(13, 20)))
-            span = _grouped(d, [4, 4, 4], str(rng.choice(["", " ", "-", ".", "  "])))
-            good &= hinted or "." not in span
-        elif kind == "phone":
-            hinted_form = rng.random()
-            if good:
-                d = _digits(rng, 10)
-                span = [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"+{_digits(rng, 2)} {d[:3]} {d[3:6]} {d[6:]}"][int(hinted_form * 4)]
-                good = hinted or "(" in span or span.startswith("+")
-            else:
-                span = [_digits(rng, int(rng.integers(7, 16))), f"{rng.integers(1900, 2100)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"{_digits(rng, 3)}.{_digits(rng, 2)}.{_digits(rng, 3)}.{_digits(rng, 2)}", f"{_digits(rng, 4)} {_digits(rng, 4)} {_digits(rng, 4)}"][int(hinted_form * 4)]
-        elif kind == "ip":
-            octets = [str(rng.integers(0, 256)) for _ in range(4)]
-            if not good:
-                octets[int(rng.integers(0, 4))] = str(rng.integers(256, 999))
-            span = str(rng.choice([".", "[.]", "(.)", "[dot]"])).join(octets)
-        else:
-            at, dot = (" @ ", ".") if rng.random() < 0.2 else (str(rng.choice([" [at] ", " (at) ", "[at]", "(at)"])), str(rng.choice([".", " [dot] ", "[dot]", " (dot) "])))
-            host, top = _word(rng), str(rng.choice(["com", "org", "net", "de", "fr", "io"]))
-            if good:
-                span = f"{_word(rng)}{at}{host}{dot}{top}"
-            else:
-                span = [f"{_word(rng)} @ {_digits(rng, 2)}.{_digits(rng, 2)}", f"{_word(rng)}{at}{_digits(rng, 1)}.{_digits(rng, 1)}"][int(rng.integers(0, 2))]
-        yield span, before[-BEFORE:], after[:AFTER], good
+    good = rng.random() < 0.6
+    hinted = rng.random() < (0.7 if good else 0.15)
+    text, places = f"{_word(rng)} {_word(rng)} " + rng.choice(says if hinted else plain), set()
+    near = kind in ("card", "phone")
+    if near and rng.random() < 0.4:
+        text += rng.choice([f"{_date(rng)} ", f"{rng.randrange(1, 100)} ", f"{rng.randrange(1, 10)} ", f"{_digits(rng, rng.randrange(2, 6))} "])
+    wrapped = rng.random() < 0.1
+    text += "(" if wrapped else ""
+    for again in range(1 + (rng.random() < 0.2)):
+        text += rng.choice([" ", " ", ", "]) if again else ""
+        span, speaks = _personal(kind, rng, hinted) if good else (_harmless(kind, rng), False)
+        if speaks:
+            places.add((len(text), len(text) + len(span)))
+        text += span
+    text += ")" if wrapped else ""
+    if near and rng.random() < 0.25:
+        text += rng.choice([f" {rng.randrange(1, 100)}", f" {_date(rng)}", f", {_date(rng)}"])
+    return text + rng.choice([" ", " ", ". ", ", "]) + f"{_word(rng)} {_word(rng)}", places
+
+
+def proposals_of(text: str, kind: str):
+    """(start, span, before, after) of every proposal for one Python string, as ``_proposals`` makes them."""
+    t = " " + text
+    for m in re.finditer(f"{START[kind]}(?={PROPOSE[kind][0]})", t):
+        at = m.start()
+        window = t[at : at + WINDOW[kind]]
+        for span in dict.fromkeys(x[0] for g in PROPOSE[kind] if (x := re.match(g, window))):
+            yield at - 1, span, t[max(0, at - BEFORE) : at], window[len(span) : len(span) + AFTER]
+
+
+def _examples(kind: str, seed: int, n: int):
+    """``n`` labelled proposals (span, before, after, is personal data) of one kind: all that the generators propose in
+    texts from a seeded generator; right is only the whole of a span, so wrong cuts are among the others."""
+    rng = random.Random(seed)
+    left = n
+    while left:
+        text, places = _made_text(kind, rng)
+        for at, span, before, after in list(proposals_of(text, kind))[:left]:
+            left -= 1
+            yield span, before, after, (at, at + len(span)) in places
 
 
 @dataclass(frozen=True)
@@ -204,7 +282,7 @@ def _best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float
     return best
 
 
-def fit_boosted(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray, rounds: int = 16, rate: float = 0.4, precision: float = 0.99) -> Boosted:
+def fit_boosted(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray, rounds: int = 40, rate: float = 0.4, precision: float = 0.99) -> Boosted:
     """Gradient boosting on the logistic loss; the threshold is the lowest with ``precision`` on held-out rows."""
     bias = float(np.log(y.mean() / (1 - y.mean())))
     trees: list = []
@@ -230,7 +308,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.nda
 
 @lru_cache(maxsize=8)
 def models(seed: int = 11, rows: int = 3000) -> dict[str, Boosted]:
-    """A boosted model of each kind, fitted on ``rows`` made-up candidates and calibrated on as many others."""
+    """A boosted model of each kind, fitted on ``rows`` proposals of made-up texts and calibrated on as many others."""
     out = {}
     for i, kind in enumerate(KINDS):
         sets = []
@@ -278,6 +356,27 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
     return F.when(text.rlike(needs), spans).otherwise(nothing)
 
 
+def _proposals(text: Column, kind: str) -> Column:
+    """Array of (m, before, after, s, e): what every generator proposes from every start, in order of start.
+
+    Starts are matches of no width, at which the text is split, so that offsets are running sums of the
+    pieces' lengths; a blank before the text keeps the first start from standing at its very front.
+    """
+    t = F.concat(F.lit(" "), text)
+    start = f"{START[kind]}(?={PROPOSE[kind][0]})"
+    found, between = F.regexp_extract_all(t, F.lit(rf"{start}(?=([\s\S]{{0,{WINDOW[kind]}}}))"), 1), F.split(t, start, -1)
+    cells = _let(F.struct(found.alias("f"), between.alias("b")), lambda x: F.zip_with(x["f"], F.slice(x["b"], F.lit(1), F.size(x["f"])), lambda w, p: F.struct(w.alias("w"), F.right(p, F.lit(BEFORE)).alias("tail"), F.length(p).alias("gap"))))
+    nothing = F.array().cast("array<struct<m:string,before:string,after:string,s:int,e:int>>")
+    # A piece has a character at least, so the last BEFORE pieces hold all of what is looked at before a start.
+    before = lambda tails, i: F.right(F.array_join(F.slice(tails, F.greatest(i - (BEFORE - 2), F.lit(1)), F.least(i + 1, F.lit(BEFORE))), ""), F.lit(BEFORE))
+    spans = lambda w: F.filter(F.array_distinct(F.array(*[F.regexp_extract(w, f"^(?:{g})", 0) for g in PROPOSE[kind]])), lambda m: m != "")
+    placed = lambda c: F.transform(spans(c["w"]), lambda m: F.struct(m.alias("m"), c["before"].alias("before"), F.substring(c["w"], F.length(m) + 1, F.lit(AFTER)).alias("after"), c["s"].alias("s"), (c["s"] + F.length(m)).alias("e")))
+    starts = lambda cs, x: F.transform(cs, lambda c, i: F.struct(c["w"].alias("w"), before(x["tails"], i).alias("before"), (F.element_at(x["sums"], i + 1) + c["gap"] - 1).alias("s")))
+    sums = lambda cs: _let(F.transform(cs, lambda c: c["gap"]), lambda gaps: F.struct(F.transform(cs, lambda c: c["tail"]).alias("tails"), _sums_before(gaps).alias("sums")))
+    out = _let(cells, lambda cs: F.when(F.size(cs) == 0, nothing).otherwise(_let(sums(cs), lambda x: F.flatten(F.transform(starts(cs, x), placed)))))
+    return F.when(text.rlike(PROPOSE_NEEDS[kind]), out).otherwise(nothing)
+
+
 def _digit_count(m: Column) -> Column:
     return F.length(F.regexp_replace(m, "[^0-9]", ""))
 
@@ -296,8 +395,30 @@ def _checks(kind: str):
     return lambda c: _valid(kind, c["m"])
 
 
-def _chosen(kind: str, model: Boosted):
-    return lambda c: model.column(list(features(c, kind).values())) >= model.threshold
+def _scored(kind: str, i: int, model: Boosted):
+    """A proposal as (s, k, e, p), p its score; features are computed once for all trees."""
+    score = lambda c: _let(F.array(*features(c, kind).values()), lambda v: model.column([F.element_at(v, j + 1) for j in range(len(FEATURES))]))
+    return lambda c: F.struct(c["s"].alias("s"), F.lit(i).alias("k"), c["e"].alias("e"), score(c).alias("p"))
+
+
+def _above(threshold: float):
+    return lambda c: c["p"] >= threshold
+
+
+def _meets(c: Column):
+    return lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])
+
+
+def _beats(c: Column):
+    """Whether another proposal takes the place of c: it meets c and scores more or, of equal score, is longer or comes first."""
+    rank = lambda x: F.struct(x["p"], x["e"] - x["s"], -x["s"])
+    return lambda b: _meets(c)(b) & (rank(b) > rank(c))
+
+
+def _best(spans: Column) -> Column:
+    """Those of an array of (s, k, e, p), by start, that no other beats."""
+    beaten = lambda blocks: lambda c: F.exists(blocks, lambda x: _meets(c)(x) & F.exists(x["spans"], _beats(c)))
+    return _let(spans, lambda all_: _let(_blocks(all_, "s:int,k:int,e:int,p:double"), lambda blocks: F.filter(all_, lambda c: ~beaten(blocks)(c))))
 
 
 def _is_kind(i: int):
@@ -312,19 +433,20 @@ def _spans(cells: Column, rank: int) -> Column:
 _SPAN_BLOCK = 256
 
 
-def _blocks(spans: Column) -> Column:
+def _blocks(spans: Column, fields: str = "s:int,k:int,e:int") -> Column:
     """Sorted spans in blocks with the stretch that each covers, so that a look for overlaps need not go through all."""
     part = lambda b: F.slice(spans, b * _SPAN_BLOCK + 1, F.lit(_SPAN_BLOCK))
     whole = lambda p: F.struct(F.element_at(p, 1)["s"].alias("s"), F.array_max(F.transform(p, lambda x: x["e"])).alias("e"), p.alias("spans"))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _SPAN_BLOCK).cast("int")), lambda b: _let(part(b), whole))
-    return F.when(F.size(spans) > 0, blocks).otherwise(F.array().cast("array<struct<s:int,e:int,spans:array<struct<s:int,k:int,e:int>>>>"))
+    return F.when(F.size(spans) > 0, blocks).otherwise(F.array().cast(f"array<struct<s:int,e:int,spans:array<struct<{fields}>>>>"))
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", seed: int = 11) -> DataFrame:
     """``docs`` plus ``base`` and ``spans``: arrays of (s, k, e), k numbering email, ip, card, phone.
 
     ``base``: matches of the base patterns that pass their checks. ``spans``: these and every
-    proposal that the boosted trees score above their threshold and that overlaps no base span.
+    proposal that the boosted trees score above their threshold, that overlaps no base span, and
+    that no overlapping proposal of its kind beats by its score.
     Sorted by start, then kind, then end; offsets in code points, end exclusive. A null text is
     empty and has none. Row by row, without a shuffle.
     """
@@ -336,11 +458,10 @@ def find_spans(docs: DataFrame, text_col: str = "text", seed: int = 11) -> DataF
     rows = rows.withColumn("base", F.array_sort(F.concat(*[F.col(f"__b{i}") for i in range(len(KINDS))])))
     rows = rows.withColumn("__near", _blocks(F.col("base")))
     trees = models(seed)
-    meets = lambda c: lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])
     for i, kind in enumerate(KINDS):
-        clear = lambda c: ~F.exists(F.col("__near"), lambda x: meets(c)(x) & F.exists(x["spans"], meets(c)))
-        fresh = F.filter(F.filter(_matches(t, PROPOSE[kind], PROPOSE_NEEDS[kind]), clear), _chosen(kind, trees[kind]))
-        rows = rows.withColumn(f"__p{i}", _spans(fresh, i))
+        clear = lambda c: ~F.exists(F.col("__near"), lambda x: _meets(c)(x) & F.exists(x["spans"], _meets(c)))
+        fresh = F.filter(F.transform(F.filter(_proposals(t, kind), clear), _scored(kind, i, trees[kind])), _above(trees[kind].threshold))
+        rows = rows.withColumn(f"__p{i}", _spans(_best(fresh), i))
     rows = rows.withColumn("spans", F.array_sort(F.concat("base", *[F.col(f"__p{i}") for i in range(len(KINDS))])))
     return rows.select(*[named(c) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
 

@@ -287,3 +287,32 @@ def test_pii_offsets_of_many_matches(spark):
     began = time.time()
     many = spark.createDataFrame([(1, "a@b.cd " * 100_000)], "doc_id long, text string")
     assert pii.span_digests(many).collect()[0].n_email == 100_000 and time.time() - began < 60
+
+
+def test_pii_proposals_equal_python(spark):
+    """The plan proposes what the Python generators propose: overlapping cuts, with their context, in texts of any kind."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = ["call 2024-01-15 555-123-4567", "12 555-123-4567 555-987-6543.", "é🙂 3 4111.1111.1111.1111 x", "(555) 123-4567", "5551234567", "a (at) b (dot) com. Then c @ d.e", "10[.]0[.]0[.]1.", "", "1 " * 300]
+    texts += ["".join(rng.choice(["12", "3", "4567", " ", "-", ".", "(", ")", "+", "at", "[at]", "[.]", "x", "é", "@"]) for _ in range(40)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.select("doc_id", *[pii._proposals(F.col("text"), k).alias(k) for k in pii.KINDS]).collect()
+    some = 0
+    for r in rows:
+        for kind in pii.KINDS:
+            want = [(at, span, before, after) for at, span, before, after in pii.proposals_of(texts[r.doc_id], kind)] if re.search(pii.PROPOSE_NEEDS[kind], texts[r.doc_id]) else []
+            assert [(c.s, c.m, c.before, c.after) for c in r[kind]] == want, (kind, texts[r.doc_id])
+            assert all(c.e - c.s == len(c.m) for c in r[kind])
+            some += len(want)
+    assert some > 500
+
+
+def test_pii_best_cut_of_numbers_that_run_together(spark):
+    """Numbers next to a span do not hide it, and no other cut of the same digits is taken with it."""
+    cases = [("please call 2024-01-15 555-123-4567 today", ["555-123-4567"]), ("please call 12 555-123-4567 today", ["555-123-4567"]), ("call 555-123-4567 555-987-6543 today", ["555-123-4567", "555-987-6543"]), ("visa card 3 4111.1111.1111.1111 today", ["4111.1111.1111.1111"]), ("on 2024-01-15 12 of 34 came", [])]
+    out = {r.doc_id: r.spans for r in pii.find_spans(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    for i, (text, want) in enumerate(cases):
+        found = {text[s.s : s.e] for s in out[i]}
+        assert all(a.e <= b.s or a.k != b.k for a, b in zip(out[i], out[i][1:]))
+        assert found >= set(want) and (want or not found), (text, found)
