@@ -1,7 +1,7 @@
 """Personal data: generators propose spans, boosted trees judge them, calibrated thresholds select.
 
-Only DataFrame functions touch the corpus. The trees are fitted on the driver, on candidates made
-by a seeded generator, and reach the plan as CASE expressions.
+Only DataFrame functions touch the corpus. The trees are fitted on the driver, on what the generators
+propose in made-up texts, and reach the plan as a constant.
 """
 
 from __future__ import annotations
@@ -260,12 +260,12 @@ class Boosted:
                 out[mask] += np.where(x[mask, g] > c, b, a)
         return out
 
-    def column(self, values: list[Column]) -> Column:
-        out = F.lit(self.bias)
-        for f, cut, low, high in self.trees:
-            leaf = lambda t: F.when(values[t[0]] > t[1], F.lit(t[3])).otherwise(F.lit(t[2]))
-            out = out + F.when(values[f] > cut, leaf(high)).otherwise(leaf(low))
-        return out
+    def column(self, values: Column) -> Column:
+        """The sum over an array of features: one pass over the trees, which stand in the plan as a constant array."""
+        leaf = lambda side, t: f"'{side}', named_struct('f', {t[0] + 1}, 'cut', {t[1]!r}D, 'low', {t[2]!r}D, 'high', {t[3]!r}D)"
+        trees = F.expr("array(" + ", ".join(f"named_struct('f', {f + 1}, 'cut', {float(cut)!r}D, {leaf('low', low)}, {leaf('high', high)})" for f, cut, low, high in self.trees) + ")")
+        value = lambda t: F.when(F.element_at(values, t["f"]) > t["cut"], t["high"]).otherwise(t["low"])
+        return F.aggregate(trees, F.lit(self.bias), lambda total, t: total + _let(value(t), value))
 
 
 def _best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float, float]:
@@ -295,7 +295,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.nda
             k, c, _gain = _best_split(x[mask], g[mask], h[mask]) if mask.any() else (0, np.inf, 0.0)
             up = mask & (x[:, k] > c)
             down = mask & ~up
-            sides.append((k, min(c, 1e9), *(round(float(rate * g[m].sum() / (h[m].sum() + 1)), 6) for m in (down, up))))
+            sides.append((k, float(min(c, 1e9)), *(round(float(rate * g[m].sum() / (h[m].sum() + 1)), 6) for m in (down, up))))
         trees.append((f, min(cut, 1e9), *sides))
     model = Boosted(tuple(trees), bias, 0.0)
     s = model.logit(held_x)
@@ -397,7 +397,7 @@ def _checks(kind: str):
 
 def _scored(kind: str, i: int, model: Boosted):
     """A proposal as (s, k, e, p), p its score; features are computed once for all trees."""
-    score = lambda c: _let(F.array(*features(c, kind).values()), lambda v: model.column([F.element_at(v, j + 1) for j in range(len(FEATURES))]))
+    score = lambda c: _let(F.array(*features(c, kind).values()), model.column)
     return lambda c: F.struct(c["s"].alias("s"), F.lit(i).alias("k"), c["e"].alias("e"), score(c).alias("p"))
 
 
