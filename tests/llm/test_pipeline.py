@@ -76,3 +76,74 @@ def test_native_operators_run_no_python(spark, sf):
 
     for name in ("op6_pii", "op7_chat_format"):
         assert not re.search("Python|Pandas|Arrow", QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()), name
+
+
+def test_mixing_query_against_plain_version(spark, sf):
+    """Sizes, sources' sizes and targets as plain Python has them; what is taken meets the targets to a document."""
+    import re
+
+    docs = {r.doc_id: (len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    total = collections.Counter()
+    for n, s in docs.values():
+        total[s] += n
+    order = sorted((s for s in total if s is not None)) + [None] * (None in total)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(total.values()))
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if share[s] > 3 * total[s]}
+        if not full:
+            target.update(share)
+            break
+        for s in full:
+            target[s] = 3.0 * total[s]
+            left -= target[s]
+        free -= full
+    rows = QUERIES["op3_mix_sources"](spark, sf).collect()
+    assert {r.doc_id: (r.size, r.source_size) for r in rows} == {i: (n, total[s]) for i, (n, s) in docs.items()}
+    taken, most = collections.Counter(), collections.Counter()
+    for r in rows:
+        n, s = docs[r.doc_id]
+        assert abs(r.target - target[s]) <= 1e-6 * max(1, target[s]) and r.taken in (0, n, 2 * n, 3 * n)
+        taken[s] += r.taken
+        most[s] = max(most[s], n)
+    assert all(abs(taken[s] - target[s]) <= most[s] + 1 for s in order), (taken, target)
+
+
+def test_pii_query_against_plain_version(spark, sf, docs):
+    """Base spans and counts as plain regular expressions have them, in every whole text; added spans are proposals, and overlap none of their kind."""
+    import hashlib
+
+    from quillon.llm import pii
+    from tests.llm.test_text import base
+
+    got = {r.doc_id: r for r in QUERIES["op6_pii"](spark, sf).collect()}
+    assert set(got) == {i for i, _ in docs}
+    for i, text in docs:
+        want, r = base(text), got[i]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), i
+        plain, spans = [x for x in want.split(",") if x], [x for x in r.spans.split(",") if x]
+        added = [x.split(":") for x in sorted(set(spans) - set(plain))]
+        assert set(plain) <= set(spans) and {k: sum(x.startswith(k) for x in plain) for k in pii.KINDS} == {k: r[f"n_{k}"] for k in pii.KINDS}
+        for k, s, e in added:
+            assert any(at == int(s) and at + len(span) == int(e) for at, span, _, _ in pii.proposals_of(text, k)), (i, k, s, e)
+            assert not any(k == k2 and (s, e) != (s2, e2) and int(s) < int(e2) and int(s2) < int(e) for k2, s2, e2 in (x.split(":") for x in spans))
+
+
+def test_toxicity_query_against_plain_rerun(spark, sf, docs):
+    """Every document's probabilities and verdict are those of the chain applied to its text alone, in plain Python."""
+    from quillon.llm import toxicity
+    from quillon.llm.queries import CATEGORIES
+
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    chain = toxicity.train(table, spark.read.parquet(f"{sf}/labels.parquet"), CATEGORIES)
+    got = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, sf).collect()}
+    assert set(got) == {i for i, _ in docs}
+    for i, text in docs:
+        tokens = toxicity._tokens(text or "")
+        bag, shape, before = toxicity._bag(tokens), np.array([toxicity.shape_features(text or "", tokens)]), np.zeros((1, 0))
+        for m in chain:
+            p = 1 / (1 + np.exp(-m.logits(shape, [bag], before)))
+            before = np.hstack([before, p[:, None]])
+            assert abs(got[i][f"p_{m.name}"] - p[0]) < 2e-6, (i, m.name)
+        assert got[i].rejected == bool(tokens and before[0, -1] >= chain[-1].threshold), i
