@@ -79,3 +79,26 @@ def top_k(rows, k=10):
         scored = sorted(((-int(good[q] @ v), i) for i, v in good.items() if i != q))[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return out
+
+
+def best_pieces(text, pieces, unknown, byte_ids):
+    """Ids of the segmentation with the highest sum of scores; of equal ones each place is reached by the piece that starts first.
+
+    ``pieces``: text -> (score, id), with whole scores. Characters without a piece cost ``unknown`` and give their UTF-8 bytes' ids.
+    """
+    s = ("▁" + text if text else "").replace(" ", "▁")
+    longest = max(map(len, pieces))
+    best, way = [0] + [None] * len(s), [None] * (len(s) + 1)
+    for end in range(1, len(s) + 1):
+        for a in range(max(0, end - longest), end):
+            found = pieces.get(s[a:end])
+            if found is None and end - a == 1:
+                found = (unknown, None)
+            if found is not None and (best[end] is None or best[a] + found[0] > best[end]):
+                best[end], way[end] = best[a] + found[0], (a, found[1])
+    ids, at = [], len(s)
+    while at:
+        a, i = way[at]
+        ids += [i] if i is not None else [byte_ids[b] for b in s[a:at].encode()][::-1]
+        at = a
+    return ids[::-1]

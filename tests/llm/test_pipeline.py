@@ -147,3 +147,23 @@ def test_toxicity_query_against_plain_rerun(spark, sf, docs):
             before = np.hstack([before, p[:, None]])
             assert abs(got[i][f"p_{m.name}"] - p[0]) < 2e-6, (i, m.name)
         assert got[i].rejected == bool(tokens and before[0, -1] >= chain[-1].threshold), i
+
+
+def test_pieces_query_against_plain_version(spark, sf, docs):
+    """Every document's ids are those of a plain search for the best path over its whole text, and decode to it."""
+    import hashlib
+
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.ParseFromString(pieces.read_model(PIECES_MODEL))
+    normal = {p.piece: (int(p.score), i) for i, p in enumerate(m.pieces) if p.type == 1}
+    assert all(p.score == int(p.score) for p in m.pieces if p.type == 1) and not any(p.type == 4 for p in m.pieces)
+    byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
+    unknown = min(s for s, _ in normal.values()) - 10
+    got = {r.doc_id: r for r in QUERIES["op4_sentencepiece"](spark, sf).collect()}
+    assert set(got) == {i for i, _ in docs}
+    for i, text in docs:
+        ids = brute.best_pieces(text or "", normal, unknown, byte_ids)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()), i
+        assert got[i].round_trip == ("▁" not in (text or "")), i
