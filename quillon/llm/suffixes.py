@@ -5,6 +5,8 @@ strings that are equal meet under one name. Runs of strings under one name leave
 equal segments are added up before anything is sorted. Segments that share a name are sorted, their
 transform's intervals are expanded backwards breadth first, which finds common-prefix values in
 rising order, and the expansion stops at 200: what has no value by then starts a repeated string.
+A name with too many different segments to be sorted at once is refined: its segments are texts
+again, whose strings are named by longer anchors, at last by all their 200 bytes.
 """
 
 from __future__ import annotations
@@ -14,16 +16,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import deal_to_pairs
 from quillon.llm.common import Scratch, named
 from quillon.llm.minhash import _mix
 
-LENGTH, ANCHOR = 200, 64
-#: Bytes that are sorted at once, and of one of the two chunks of a name with more than that.
+LENGTH = 200
+#: Bytes of the strings that name a 200-byte string, for all names, then for those found too large, and then for
+#: those of them that still are. With the last every name has one segment.
+ANCHORS = (64, 128, LENGTH)
+#: Bytes that are sorted at once, and those of a name beyond which it is refined.
 BATCH, CHUNK = 2 << 20, 1 << 20
 END = 255  # never a byte of UTF-8
 _POSITION = np.uint64((1 << 23) - 1)
@@ -33,17 +38,18 @@ _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = _rng.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def anchor_hashes(data: np.ndarray, anchor: int = ANCHOR) -> np.ndarray:
-    """Hash of the ``anchor`` bytes (a power of two) from each position, by doubling."""
+def anchor_hashes(data: np.ndarray, anchor: int = ANCHORS[0]) -> np.ndarray:
+    """Hash of the ``anchor`` bytes from each position, by doubling; the last two halves overlap if need be."""
     h, size, k = _BYTE[data], 1, 0
     while size < anchor:
-        h = h[:-size] * _STEP[k] + h[size:]
+        more = min(size, anchor - size)
+        h = h[:-more] * _STEP[k] + h[more:]
         h ^= h >> np.uint64(29)
-        size, k = size * 2, k + 1
+        size, k = size + more, k + 1
     return _mix(h)
 
 
-def minimizer_runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
+def minimizer_runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor: int = ANCHORS[0]):
     """(first, count, name): runs of ``length``-byte strings of ``data`` under one minimizer.
 
     ``bounds`` are the documents' ends; no string crosses one. ``first`` is a run's first start.
@@ -96,18 +102,21 @@ def _pieces(texts, keys):
         yield b"".join(held), np.array(ends), np.array(ids, np.int64), np.array(offsets)
 
 
-def _runs(batches):
-    for batch in batches:
-        raw = batch.column(1).cast(pa.large_binary()).to_pylist()
-        for joined, ends, ids, offsets in _pieces(raw, batch.column(0).to_pylist()):
-            first, count, name = minimizer_runs(np.frombuffer(joined, np.uint8), ends)
-            if not len(first):
-                continue
-            view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
-            h = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)], np.uint64)
-            doc = np.searchsorted(ends, first, "right")
-            start = first - np.concatenate(([0], ends[:-1]))[doc] + offsets[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["fp", "h", "dk", "a", "m"])
+def _runs(anchor: int):
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(1).cast(pa.large_binary()).to_pylist()
+            for joined, ends, ids, offsets in _pieces(raw, batch.column(0).to_pylist()):
+                first, count, name = minimizer_runs(np.frombuffer(joined, np.uint8), ends, anchor=anchor)
+                if not len(first):
+                    continue
+                view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
+                h = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)], np.uint64)
+                doc = np.searchsorted(ends, first, "right")
+                start = first - np.concatenate(([0], ends[:-1]))[doc] + offsets[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["fp", "h", "dk", "a", "m"])
+
+    return run
 
 
 def _repeated_names(batches):
@@ -254,25 +263,27 @@ def _ranges(flags: np.ndarray) -> list[int]:
 
 
 def _sorted_together(t: pa.Table):
-    # Pairs of chunks of one name share segments; a segment that stood twice would be found in its own copy.
-    fp, h = t.column("fp").to_numpy(), t.column("h").to_numpy()
-    order = np.lexsort((h, fp))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (fp[order[1:]] != fp[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
-    if not fresh.all():
-        t = t.take(pa.array(np.sort(order[fresh])))
     flags = repeated_starts(t.column("seg").to_pylist(), t.column("n").to_numpy())
     found = [_ranges(f) for f in flags]
     keep = pa.array([bool(x) for x in found])
-    out = pa.table({"fp": t.column("fp"), "h": t.column("h"), "at": pa.array(found, pa.list_(pa.int32()))})
+    none = pa.nulls(len(found))
+    out = pa.table({"fp": t.column("fp"), "h": t.column("h"), "at": pa.array(found, pa.list_(pa.int32())), "n": none.cast(pa.int64()), "seg": none.cast(pa.binary())})
     yield from out.filter(keep).combine_chunks().to_batches()
 
 
 def _expand(batches):
-    """Of segments sorted by name: the repeated starts of each. Whole names are sorted together, a batch of bytes at a time."""
+    """Of segments sorted by name: the repeated starts of each. Whole names are sorted together, a batch of bytes at a time.
+
+    Segments of large names pass as they are, to be refined.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
+        large = batch.column("large")
+        if large.true_count:
+            on = batch.filter(large)
+            yield pa.RecordBatch.from_arrays([on.column("fp"), on.column("h"), pa.nulls(on.num_rows, pa.list_(pa.int32())), on.column("n"), on.column("seg")], names=["fp", "h", "at", "n", "seg"])
+            batch = batch.filter(pc.invert(large))
         for lo in range(0, batch.num_rows, 2048):
             part = batch.slice(lo, 2048)
             size += int(np.diff(_ends(part)).sum())
@@ -280,8 +291,8 @@ def _expand(batches):
             if size < BATCH:
                 continue
             t = pa.Table.from_batches(held)
-            keys = np.stack([t.column(k).to_numpy() for k in ("fp", "i", "j")])
-            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            names = t.column("fp").to_numpy()
+            cut = np.flatnonzero(names[1:] != names[:-1]) + 1
             if not len(cut):
                 continue
             yield from _sorted_together(t.slice(0, int(cut[-1])))
@@ -304,9 +315,9 @@ def _cut(batches):
         raw = batch.column(0).cast(pa.large_binary())
         for i, wants in enumerate(batch.column(1).to_pylist()):
             text = raw[i].as_py()
-            out = [(w["fp"], w["h"], w["n"], w["chunks"], text[w["a"] : w["a"] + w["m"] + LENGTH - 1]) for w in wants]
+            out = [(w["fp"], w["h"], w["n"], w["large"], text[w["a"] : w["a"] + w["m"] + LENGTH - 1]) for w in wants]
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["fp", "h", "n", "chunks", "seg"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.binary())], names=["fp", "h", "n", "large", "seg"])
 
 
 def _remove(batches):
@@ -344,30 +355,53 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     ``dk`` is xxhash64 of id and text. Names and hashes are range-partitioned with the document as
     the last key, so a name that a third of all documents hold spreads over many ranges; a range
     keeps its first and last name whole whatever their count, so none is lost at a border. Equal
-    segments are counted on the map side and one text of each is sorted. Names with more than 1.5 MB
-    of different segments are dealt to pairs of chunks.
+    segments are counted on the map side and one text of each is sorted. Names with more than CHUNK
+    bytes of different segments are refined, so no task sorts a larger one.
     """
-    spark = docs.sparkSession
     text = named(text_col).cast("string")
-    rows = docs.select(F.xxhash64(named(id_col), text).alias("dk"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
-    runs = scratch.save(rows.mapInArrow(_runs, _RUN_KINDS))
+    rows = docs.select(F.xxhash64(named(id_col), text).alias("dk"), text.alias("text"))
+    return _spans(rows, scratch, ANCHORS)
+
+
+def _spans(texts: DataFrame, scratch: Scratch, anchors: tuple[int, ...]) -> DataFrame:
+    """repeated_spans() of texts (dk, text as string or binary), named by the first of ``anchors``."""
+    spark = texts.sparkSession
+    rows = texts.where(F.octet_length("text") >= LENGTH)
+    runs = scratch.save(rows.mapInArrow(_runs(anchors[0]), _RUN_KINDS))
     alike = scratch.save(runs.repartitionByRange("fp", "h", "dk").sortWithinPartitions("fp", "h").mapInArrow(_repeated_names, _RUN_KINDS))
     scratch.free(runs)
     _sweep(spark)
     segments = alike.groupBy("fp", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dk", "a", "m")).alias("one"))
     segments = scratch.save(segments.select("fp", "h", "n", "one.dk", "one.a", "one.m"))
     names = segments.groupBy("fp").agg(F.sum(F.col("m") + LENGTH).alias("size"), F.sum("n").alias("rows")).where("rows > 1")
-    wants = segments.join(names, "fp").select("dk", F.struct("fp", "h", "n", "a", "m", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")).alias("w"))
-    wants = wants.groupBy("dk").agg(F.collect_list("w").alias("wants"))
-    cut = rows.join(wants, "dk").select("text", "wants").mapInArrow(_cut, "fp long, h long, n long, chunks int, seg binary")
-    dealt = deal_to_pairs(cut, "fp", F.col("h"), F.col("chunks")).select("fp", "i", "j", "h", "n", "seg")
-    found = scratch.save(dealt.mapInArrow(_expand, "fp long, h long, at array<int>"))
+    names = scratch.save(names.select("fp", (F.col("size") > (CHUNK if len(anchors) > 1 else 1 << 62)).alias("large")))
+    wants = segments.join(names, "fp").select("dk", F.struct("fp", "h", "n", "a", "m", "large").alias("w")).groupBy("dk").agg(F.collect_list("w").alias("wants"))
+    cut = rows.join(wants, "dk").select("text", "wants").mapInArrow(_cut, "fp long, h long, n long, large boolean, seg binary")
+    # Small names meet whole; the segments of a large one go anywhere.
+    dealt = cut.repartition("fp", F.when(F.col("large"), F.col("h")).otherwise(F.lit(0))).sortWithinPartitions("fp")
+    told = scratch.save(dealt.mapInArrow(_expand, "fp long, h long, at array<int>, n long, seg binary"))
+    found = told.where("seg is null").select("fp", "h", "at")
+    if not names.where("large").isEmpty():
+        found = found.unionByName(_refined(told.where("seg is not null").select("fp", "h", "n", "seg"), scratch, anchors[1:]))
     _sweep(spark)
     places = alike.select("fp", "h", "dk", "a").join(found, ["fp", "h"])
     pair = F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda k: F.struct((F.col("a") + F.element_at("at", k + 1)).alias("s"), (F.col("a") + F.element_at("at", k + 2) + (LENGTH - 1)).alias("e")))
     return scratch.save(places.select("dk", F.explode(pair).alias("span")).groupBy("dk").agg(F.collect_list("span").alias("spans")))
 
 
+def _refined(cut: DataFrame, scratch: Scratch, anchors: tuple[int, ...]) -> DataFrame:
+    """(fp, h, at) of segments of large names, whose strings are named anew by longer anchors.
+
+    Equal strings lie under one name here as well, so what repeats is found among these segments. A
+    segment that stands in several places repeats whole.
+    """
+    own = cut.withColumn("dk", F.xxhash64("fp", "h"))
+    spans = _spans(own.select("dk", F.col("seg").alias("text")), scratch, anchors)
+    ranges = F.flatten(F.transform("spans", lambda x: F.array(x["s"], x["e"] - (LENGTH - 1))))
+    whole = F.array(F.lit(0), F.octet_length("seg") - (LENGTH - 1))
+    return own.join(spans, "dk", "left").select("fp", "h", F.when(F.col("n") > 1, whole).otherwise(ranges).alias("at")).where("at is not null")
+
+
 def suffix_digests(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 

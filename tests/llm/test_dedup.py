@@ -140,6 +140,35 @@ def test_suffix_dedup_pairs_of_one_name_in_one_task(spark, monkeypatch):
     assert sorted(got) == sorted(brute.suffixes(docs)) and sum(r[2] > 0 for r in got) == 2
 
 
+@pytest.mark.parametrize("common", [120, 180, 199, 260])
+def test_suffix_dedup_refines_large_names(spark, monkeypatch, common):
+    """A passage in many different surroundings, copies among them: names are refined to longer anchors, at last to whole strings."""
+    monkeypatch.setattr(suffixes, "CHUNK", 900)
+    made = []
+    refined = suffixes._refined
+    monkeypatch.setattr(suffixes, "_refined", lambda cut, scratch, anchors: made.append(anchors) or refined(cut, scratch, anchors))
+    rng = random.Random(common)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(n))
+    passage = word(common)
+    docs = [word(rng.randint(150, 220)) + passage + word(rng.randint(150, 220)) for _ in range(30)]
+    docs += [docs[0][100:], docs[1][:-90], docs[2], docs[2], passage * 3, None, ""]
+    docs = list(enumerate(docs))
+    got = [tuple(r) for r in suffixes.suffix_digests(frame(spark, docs), Scratch(spark, "t")).collect()]
+    assert sorted(got) == sorted(brute.suffixes(docs))
+    assert made and made[0] == (128, 200) and (common < 128 or made[-1] == (200,))
+
+
+@pytest.mark.parametrize("anchor", [64, 100, 128, 200])
+def test_anchor_hashes_depend_on_the_anchor_alone(anchor):
+    rng = np.random.default_rng(anchor)
+    one = rng.integers(97, 123, anchor).astype(np.uint8)
+    other = one.copy()
+    other[rng.integers(anchor)] ^= 1
+    front, back = (rng.integers(97, 123, 30).astype(np.uint8) for _ in range(2))
+    at = lambda x: suffixes.anchor_hashes(np.concatenate((front, x, back)), anchor)
+    assert len(at(one)) == 61 and at(one)[30] == suffixes.anchor_hashes(one, anchor)[0] != at(other)[30]
+
+
 @pytest.mark.parametrize("length", [5, 9, 20, 40])
 def test_interval_expansion(length):
     rng = np.random.default_rng(length)
